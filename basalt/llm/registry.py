@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import media, mixing, warc
 
 QUERIES = {
+    "op4_media_columns": media.op4_media_columns,
+    "op5_warc": warc.op5_warc,
     "op9_mixing": mixing.op9_mixing,
 }
 
 SQL = {
+    "op5_warc": warc.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
