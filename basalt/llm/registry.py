@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, warc
+from . import html, media, mixing, toxicity, warc
 
 QUERIES = {
+    "op2_html_extraction": html.op2_html_extraction,
     "op4_media_columns": media.op4_media_columns,
     "op5_warc": warc.op5_warc,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
