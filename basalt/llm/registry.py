@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import html, media, mixing, toxicity, warc
+from . import decontamination, html, media, mixing, toxicity, warc
 
 QUERIES = {
     "op2_html_extraction": html.op2_html_extraction,
     "op4_media_columns": media.op4_media_columns,
     "op5_warc": warc.op5_warc,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {
     "op5_warc": warc.OP5_SQL,
+    "op6_decontamination": decontamination.OP6_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
