@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, media, mixing, toxicity, warc
+from . import decontamination, html, jaccard, media, mixing, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_html_extraction": html.op2_html_extraction,
     "op4_media_columns": media.op4_media_columns,
     "op5_warc": warc.op5_warc,
