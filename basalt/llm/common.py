@@ -51,6 +51,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes up to which a counted table is broadcast.
+SMALL = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, to be broadcast if its counted rows make it small; else Spark joins it by shuffling."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
+
+
 def ascii_lower(col):
     """A-Z lower-cased, nothing else."""
     return F.translate(col, UPPER, LOWER)

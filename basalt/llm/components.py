@@ -2,7 +2,8 @@
 
 Every node hooks onto its smallest lower neighbour (a map-side combined minimum), pointer jumping
 flattens the trees, edges are rewritten to the trees' roots, and what remains is contracted again.
-Each round's tables are written to the shared folder, so lineage stays short and a lost executor
+``resolve`` does the same for candidates that must be verified first, without expanding groups to all
+pairs.  Each round's tables are written to the shared folder, so lineage stays short and a lost executor
 costs one round.  Nothing is collected: the driver only learns whether edges are left.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 
 def _relabelled(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -41,3 +42,34 @@ def components(edges: DataFrame) -> DataFrame:
     if roots is None:
         return left.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots
+
+
+def shared_keys(entered: DataFrame) -> DataFrame:
+    """key, node, centre of those rows of entered (key, node) whose key has several nodes, stored.
+
+    Keys are counted by a map-side combined aggregation, so a hot key is no hot task."""
+    live = stored(entered.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high")).filter("centre < high").select("key", "centre"), "live-keys")
+    return stored(entered.join(small(live, 16), "key"), "shared-keys")
+
+
+def resolve(shared: DataFrame, verify) -> DataFrame:
+    """node, root of the components under verified links between nodes that share a key.
+
+    verify: pairs (a, b) -> a stored table of those that link.  Every node is first compared with one
+    centre only, that of most of its keys.  Keys whose nodes are then still in different components
+    give the pairs across components; all other pairs of a key are connected already.
+    """
+    votes = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    first = stored(votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b")), "pairs")
+    labels = components(verify(first))
+    placed = stored(_relabelled(shared.select("key", "node", F.col("node").alias("root")), "root", labels), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
+    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    cross = open_.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
+    second = stored(cross.join(first, ["a", "b"], "left_anti"), "pairs")
+    if second.isEmpty():
+        return labels
+    raised = _relabelled(_relabelled(verify(second), "a", labels), "b", labels)
+    again = components(raised)
+    return stored(_relabelled(labels, "root", again).unionByName(again.join(labels.select("node"), "node", "left_anti")), "roots")

@@ -33,17 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .components import components
+from .common import small, stored, table
+from .components import resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, SPACED, grams, mix, text_bytes, word_hashes
 
 #: Coarse groups of the points, growth of size classes, partners of a centre in one task.
 GROUPS, GROWTH, CHUNK = 64, 1.4, 256
 
-#: Bytes of (node, sig, centre) rows up to which they are broadcast to the scan of the texts.
-SMALL = 32 << 20
-
 
 class Classes:
     """Size classes for a threshold of num / den; class c holds sizes bounds[c] .. bounds[c + 1] - 1."""
@@ -120,12 +117,6 @@ def _points(n: int, num: int, den: int):
     return run
 
 
-def bounded(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Whether the summed minima of the group counts leave room for a link."""
-    most = int(np.minimum(np.bincount(a & np.uint64(GROUPS - 1), minlength=GROUPS), np.bincount(b & np.uint64(GROUPS - 1), minlength=GROUPS)).sum())
-    return den * most >= num * (len(a) + len(b) - most)
-
-
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if num * max(len(a), len(b)) > den * min(len(a), len(b)):
         return False
@@ -182,9 +173,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: i
     partners = dealt.select(F.col("b").alias("node"), role("a", F.col("chunk"), False).alias("role"))
     centres = size.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "a").select("node", role("a", F.col("chunk"), True).alias("role"))
     roles = stored(partners.unionByName(centres).join(nodes.select("node", "sig"), "node"), "roles")
-    if roles.count() * 64 <= SMALL:
-        roles = F.broadcast(roles)
-    texts = docs.select("doc_id", "text").join(roles, F.col("doc_id") == F.col("node")).select("doc_id", "sig", F.array("role").alias("role"), "text")
+    texts = docs.select("doc_id", "text").join(small(roles, 64), F.col("doc_id") == F.col("node")).select("doc_id", "sig", F.array("role").alias("role"), "text")
     sets = texts.mapInArrow(_sets(n), "a long, chunk int, first boolean, b long, grams binary")
     # Pseudo-random chunk keys: a hot centre's partners are many chunks.
     dealt = sets.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
@@ -199,25 +188,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     # One row of points for each node: equal sets have equal keys, any copy's row will do.
     own = full.select("sig", "doc_id", "keys").join(nodes.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"])
     entered = stored(own.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "entries")
-    live = entered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key", F.col("low").alias("centre"))
-    shared = stored(entered.join(live, "key"), "shared")
-    votes = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    first = stored(votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    labels = components(verified(docs, nodes, first, n, num, den))
-    placed = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = open_.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
-    second = stored(cross.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(docs, nodes, second, n, num, den)
-    ends = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    raised = more.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_r", "a").alias("a"), "b").join(ends, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_r", "b").alias("b"))
-    again = components(raised)
-    up = again.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    named = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named.join(up, F.col("root") == F.col("_n"), "left").select("sig", F.coalesce("_r", "root").alias("component_id")), "components")
+    labels = resolve(shared_keys(entered), lambda pairs: verified(docs, nodes, pairs, n, num, den))
+    named = nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
     empty = points.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n_shingles", "sig").join(named, "sig", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jaccard, media, mixing, toxicity, warc
+from . import decontamination, html, jaccard, lines, media, mixing, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_html_extraction": html.op2_html_extraction,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_media_columns": media.op4_media_columns,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
