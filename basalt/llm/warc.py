@@ -1,34 +1,39 @@
 """WARC archives with the index first.
 
-Records are text (headers and UTF-8 payload), so Spark's text writer itself makes the archives, its
-line separator being the empty lines that end a record: any file system, committed by task, safe to
-retry.  The index (archive, offset, length, URL, digest for each record) is computed from lengths, not by scanning
-archives.  Reading sorts the selected index rows by archive and offset, merges near ranges and reads
-each merged range once.
+Each record is a gzip member of its own (the usual .warc.gz form), so any record can be read alone.
+Tasks write archives below a shared folder, each attempt under names of its own, and return the index
+rows (URL, digest, archive, offset, length) of what they wrote; the index holds the rows of the attempts
+that counted, and files of lost attempts are never read.  Reading sorts the selected index rows by
+archive and offset, merges near ranges and reads each merged range once.
+
+Which records are revisits comes from a pre-aggregated table of payloads that occur more than once,
+joined in a way that Spark may split or broadcast; pages are not shuffled for writing.
 
 Defined results: a null html is an empty payload; a null url has no WARC-Target-URI; control
 characters of a url are percent-encoded in the header (the index keeps the url itself); a null
-page_id sorts before all others as in Spark's min, which skips nulls: it revisits the smallest
-page_id where there is one and is a response where there is none; equal page_ids with equal payloads
-are all the response; an empty table gives no archive and no rows; other columns are ignored.
+page_id revisits the smallest page_id with its payload where there is one, else it is a response;
+equal page_ids with equal payloads are all the response; an empty table gives no rows; other columns
+are ignored.  A task holds one record and one merged range at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import scratch, stored, table
 
 CRLF = "\r\n"
 
-#: Bytes of an archive, bytes that one task's key covers, longest merged read, largest gap read over.
-ARCHIVE, BLOCK, READ, GAP = 64 << 20, 8 << 20, 8 << 20, 64 << 10
+#: Bytes of an archive, bytes that one task's key covers, longest merged read, largest gap read over; gzip level.
+ARCHIVE, BLOCK, READ, GAP, LEVEL = 64 << 20, 4 << 20, 4 << 20, 64 << 10, 5
 
 #: Digits of Spark's conv and of RFC 4648 (fixed values).
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -41,23 +46,20 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*part), DIGITS, BASE32)
 
 
-def headers(date: str) -> tuple[Column, Column]:
-    """The header lines before the payload, of the record and (responses only) of the HTTP message."""
-    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
-    response = F.col("record_type") == "response"
-    safe = F.col("url")
-    for code in (*range(32), 127):
-        safe = F.replace(safe, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    length = F.when(response, F.col("payload_bytes") + len(http)).otherwise(0)
-    line = lambda key, value: F.coalesce(F.concat(F.lit(f"{key}: "), value, F.lit(CRLF)), F.lit(""))
-    head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", name(F.col("page_id"))), line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", safe), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Refers-To", name(F.col("refers_to"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}"), line("X-Payload-Length", F.col("payload_bytes").cast("string")))),
-        F.when(response, F.lit(f"Content-Type: application/http; msgtype=response{CRLF}")).otherwise(""), line("Content-Length", length.cast("string")), F.lit(CRLF),
-    )
-    return head, F.when(response, F.lit(http)).otherwise("")
+def record(page_id, url, html: bytes, size: int, digest: str, kind: str, refers_to, date: str) -> bytes:
+    """One WARC record, its closing empty lines included."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if kind == "response":
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + html
+        lines.append("Content-Type: application/http; msgtype=response")
+    else:
+        block = b""
+        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {size}"]
+    lines.append(f"Content-Length: {len(block)}")
+    return CRLF.join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -74,23 +76,43 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, F.lit("revisit")).otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
+def archive_writer(path: str, date: str):
+    """A function for mapInArrow: writes the records it gets, gives their index rows."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        store, place = fs.FileSystem.from_uri(path)
+        out, name, at = None, "", 0
+        for batch in batches:
+            page_ids, urls, sizes, digests, kinds, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))
+            rows = []
+            for i, html in enumerate(batch.column(2)):
+                if out is None or at >= ARCHIVE:
+                    if out is None:
+                        store.create_dir(place, recursive=True)
+                    else:
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = store.open_output_stream(f"{place}/{name}", compression=None)
+                pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                body = html.as_buffer().to_pybytes() if kinds[i] == "response" else b""
+                data = pack.compress(record(page_ids[i], urls[i], body, sizes[i], digests[i], kinds[i], refers[i], date)) + pack.flush()
+                out.write(data)
+                rows.append((page_ids[i], urls[i], digests[i], f"{path}/{name}", at, len(data)))
+                at += len(data)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+        if out is not None:
+            out.close()
+
+    return write
+
+
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write one record for each page below path; gives the stored index."""
-    spark = pages.sparkSession
-    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + 512)).first()[0] or 0
-    archives = max(1, spark.sparkContext.defaultParallelism, -(-total // ARCHIVE))
-    head, http = headers(date)
-    order = ["archive", "page_id", "url", "payload_digest", "record_type"]
-    rows = records(pages, least).withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).cast("int"))
-    text = F.concat(head, http, F.when(F.col("record_type") == "response", F.col("html")).otherwise(""))
-    filed = rows.repartition(archives, "archive").sortWithinPartitions(*order)
-    filed.select("archive", text.alias("value")).write.partitionBy("archive").option("lineSep", CRLF * 2).text(path)
-    body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
-    sized = rows.drop("html").withColumn("length", (F.octet_length(head) + F.octet_length(http) + body).cast("long"))
-    before = Window.partitionBy("archive").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("offset", F.coalesce(F.sum(F.col("length") + 4).over(before), F.lit(0)))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("archive", "path") if total else spark.createDataFrame([], "archive int, path string")
-    return stored(placed.join(files, "archive").select("page_id", "url", "payload_digest", "path", "offset", "length"), "warc-index")
+    index = records(pages, least).mapInArrow(archive_writer(path, date), "page_id long, url string, payload_digest string, path string, offset long, length long")
+    return stored(index, "warc-index")
 
 
 def parse(record: memoryview) -> tuple[dict[str, str], memoryview]:
@@ -101,9 +123,9 @@ def parse(record: memoryview) -> tuple[dict[str, str], memoryview]:
         raise ValueError(f"no record header: {lines[0][:40]!r}")
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
     block = record[end + 4 :]
-    if len(block) != int(fields["content-length"]):
-        raise ValueError(f"record of {fields['content-length']} bytes has {len(block)}")
-    return fields, block
+    if len(block) != int(fields["content-length"]) + 4:
+        raise ValueError(f"record of {fields['content-length']} bytes has {len(block) - 4}")
+    return fields, block[:-4]
 
 
 def _read(batches):
@@ -112,9 +134,9 @@ def _read(batches):
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     opened, source = None, None
 
-    def row(record: memoryview) -> tuple:
-        fields, block = parse(record)
-        number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[len("<urn:page:") : -1])
+    def row(member: memoryview) -> tuple:
+        fields, block = parse(memoryview(zlib.decompress(member, 31)))
+        number = lambda x: None if x is None or x == "<urn:page:None>" else int(x[len("<urn:page:") : -1])
         if fields["warc-type"] == "revisit":
             size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
         else:
