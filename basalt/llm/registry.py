@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html, jaccard, lines, media, mixing, toxicity, warc
+from . import decontamination, html, jaccard, language_model, lines, media, mixing, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_media_columns": media.op4_media_columns,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_language_model": language_model.op7_language_model,
+    "op8_token_counts": tokencount.op8_token_counts,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
