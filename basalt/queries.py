@@ -275,6 +275,6 @@ def truncate_table(spark, sf):
 
 # Streams (a Spark extension over events)
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     return windows.tumbling(spark, f"{sf}/events.parquet", t(spark, sf, "events").schema)

@@ -12,6 +12,7 @@ from ..sources.snapshots import folder
 
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Count and sum of value by window and event type; works on streams and on tables."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = marked.groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
@@ -22,7 +23,6 @@ def tumbling(spark: SparkSession, path: str, schema) -> DataFrame:
     root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     place, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(place)
-    table = f"basalt_stream_{uuid.uuid4().hex}"
-    run = windowed(source).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", root).trigger(availableNow=True).start()
+    run = windowed(source).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{root}/windows")).start()
     run.awaitTermination()
-    return spark.table(table)
+    return spark.read.parquet(f"{root}/windows")
