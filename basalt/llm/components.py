@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boxes
 from .common import small, stored
 
 
@@ -52,22 +53,24 @@ def shared_keys(entered: DataFrame) -> DataFrame:
     return stored(entered.join(small(live, 16), "key"), "shared-keys")
 
 
-def resolve(shared: DataFrame, verify) -> DataFrame:
+def resolve(shared: DataFrame, verify, points, num: int, den: int) -> DataFrame:
     """node, root of the components under verified links between nodes that share a key.
 
-    verify: pairs (a, b) -> a stored table of those that link.  Every node is first compared with one
-    centre only, that of most of its keys.  Keys whose nodes are then still in different components
-    give the pairs across components; all other pairs of a key are connected already.
+    verify: pairs (a, b) -> a stored table of those that link at Jaccard num / den.  points: nodes -> node,
+    size, point (counts of hashed groups, see boxes.py).  Every node is first compared with one centre only,
+    that of most of its keys.  Keys whose nodes are then still in different components are searched
+    for pairs across components that the points do not rule out; all other pairs of a key are connected.
     """
     votes = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     first = stored(votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b")), "pairs")
     labels = components(verify(first))
     placed = stored(_relabelled(shared.select("key", "node", F.col("node").alias("root")), "root", labels), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    cross = open_.withColumnRenamed("node", "a").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))).select("a", "b").distinct()
-    second = stored(cross.join(first, ["a", "b"], "left_anti"), "pairs")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
+    open_ = stored(placed.join(mixed, "key"), "open")
+    if open_.isEmpty():
+        return labels
+    found = boxes.candidates(open_, points(stored(open_.select("node").distinct(), "open-nodes")), num, den)
+    second = stored(found.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return labels
     raised = _relabelled(_relabelled(verify(second), "a", labels), "b", labels)

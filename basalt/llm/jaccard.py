@@ -11,13 +11,14 @@ The directory is therefore built from subspaces: the fine groups are dealt into
 pigeonhole principle a linked pair has equal coordinates in at least two of them.  A directory
 entry is a subspace with one value (a box shrunk to a point), so lookup is an equi-join and complete:
 no link is lost, nothing is approximate.  Sizes are cut into classes such that linked sets lie in the
-same or in adjoining classes; D is the class's.  Inside an entry the coarse points are tested by the
-summed minima before sets are compared exactly.
+same or in adjoining classes; D is the class's.  Inside an entry points are tested by the summed
+minima before sets are compared exactly.
 
 Entries are not expanded to all pairs.  First every node is compared with one centre, the smallest
 node of the entries it shares most; verified links are contracted to components.  Only entries whose nodes
-still lie in different components give further pairs, between the components only.  Pairs are verified in
-chunks of one centre and at most CHUNK partners, so a hot centre is spread over many tasks.
+still lie in different components are searched further, as leaves of points (boxes.py), for pairs between the
+components.  Pairs are verified in chunks of one centre and at most CHUNK partners, so a hot centre is
+spread over many tasks.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a text of fewer words
 has one n-gram; repeated documents and ids are linked through their texts; a null doc_id takes
@@ -33,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boxes
 from .common import small, stored, table
 from .components import resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, SPACED, grams, mix, text_bytes, word_hashes
 
-#: Coarse groups of the points, growth of size classes, partners of a centre in one task.
-GROUPS, GROWTH, CHUNK = 64, 1.4, 256
+#: Growth of size classes, partners of a centre in one task.
+GROWTH, CHUNK = 1.4, 256
 
 
 class Classes:
@@ -143,6 +145,28 @@ def _sets(n: int):
     return run
 
 
+def _pointed(n: int):
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("point", pa.binary())])
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for key, sig, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gram_sets(batch.column(2), n)):
+                    if len(found) and signature(found) == sig:
+                        yield 2 * boxes.GROUPS, (key, len(found), boxes.point(found).tobytes())
+
+        yield from flushed(rows(), schema)
+
+    return run
+
+
+def points_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """node, size and point of the wanted nodes, stored; a node's repeated rows give one."""
+    ids = stored(nodes.join(wanted, "node").select("node", "sig"), "wanted")
+    texts = docs.select("doc_id", "text").join(small(ids, 48), F.col("doc_id") == F.col("node")).select("doc_id", "sig", "text")
+    return stored(texts.mapInArrow(_pointed(n), "node long, size long, point binary").dropDuplicates(["node"]), "points")
+
+
 def _verified(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -154,10 +178,10 @@ def _verified(num: int, den: int):
                 found = np.frombuffer(data.as_buffer(), np.uint64)
                 if first:
                     held, centre = (a, chunk), np.array(found)
-                    point = np.bincount(centre & np.uint64(GROUPS - 1), minlength=GROUPS)
+                    point = boxes.point(centre)
                 elif held == (a, chunk):
-                    most = int(np.minimum(point, np.bincount(found & np.uint64(GROUPS - 1), minlength=GROUPS)).sum())
-                    if den * most >= num * (len(centre) + len(found) - most) and linked(centre, found, num, den):
+                    most = int(np.minimum(point, boxes.point(found)).sum())
+                    if (point.max() == 65535 or den * most >= num * (len(centre) + len(found) - most)) and linked(centre, found, num, den):
                         out.append((a, b))
             out = list(dict.fromkeys(out))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
@@ -188,7 +212,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     # One row of points for each node: equal sets have equal keys, any copy's row will do.
     own = full.select("sig", "doc_id", "keys").join(nodes.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"])
     entered = stored(own.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "entries")
-    labels = resolve(shared_keys(entered), lambda pairs: verified(docs, nodes, pairs, n, num, den))
+    labels = resolve(shared_keys(entered), lambda pairs: verified(docs, nodes, pairs, n, num, den), lambda wanted: points_of(docs, nodes, wanted, n), num, den)
     named = nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
     empty = points.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n_shingles", "sig").join(named, "sig", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boxes
 from .common import small, stored, table
 from .components import resolve, shared_keys
 from .media import flushed
@@ -124,6 +125,30 @@ def _lines(batches):
     yield from flushed(rows(), schema)
 
 
+def _pointed(batches):
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("point", pa.binary())])
+
+    def rows():
+        for batch in batches:
+            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                lines = (text.as_py() or "").split("\n")
+                for r in wanted:
+                    line = lines[r["line_no"]].strip() if r["line_no"] < len(lines) else ""
+                    if len(line) >= MIN_CHARS and line_id(line) == r["node"]:
+                        found = line_set(line)
+                        yield 2 * boxes.GROUPS, (r["node"], len(found), boxes.point(found).tobytes())
+
+    yield from flushed(rows(), schema)
+
+
+def points_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, size and point of the wanted lines, stored."""
+    places = nodes.select("node", "doc_id", "line_no").join(wanted, "node")
+    asked = stored(places.groupBy("doc_id").agg(F.collect_list(F.struct("node", "line_no")).alias("wanted")), "wanted")  # a document's own lines
+    texts = docs.select("doc_id", "text").join(small(asked, 96), "doc_id").select("wanted", "text")
+    return stored(texts.mapInArrow(_pointed, "node long, size long, point binary").dropDuplicates(["node"]), "points")
+
+
 def _verified(num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -166,7 +191,7 @@ def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("f"), F.count("*").alias("n"))
     nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.keys", "n"), "line-nodes")
     shared = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
-    labels = resolve(shared, lambda pairs: verified(known, nodes, pairs, num, den))
+    labels = resolve(shared, lambda pairs: verified(known, nodes, pairs, num, den), lambda wanted: points_of(known, nodes, wanted), num, den)
     rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     # Components of one line that occurs once decide nothing.
