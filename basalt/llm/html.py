@@ -47,6 +47,7 @@ MARKS = re.compile(
 #: Start tags that end an open element of the given kinds.
 PARAGRAPH_ENDS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd tr td th tbody thead tfoot".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption br".split())
 LISTS = frozenset("ul ol dl table".split())
 
 
@@ -150,8 +151,14 @@ def main_parts(root: Element) -> list[Element]:
     return outermost(root, lambda e: e.tag == "article") or outermost(root, lambda e: e.tag == "main" or e.role == "main") or [root]
 
 
-def subtree_hash(element: Element, out: dict[bytes, Element] | None = None) -> tuple[bytes, bool]:
-    """(hash, whether it has text) of a subtree; out collects those of all elements with text."""
+def deletable(element: Element, article: bool) -> bool:
+    """Inside an article, running text (paragraphs, headings, list items, inline marks) is content even
+    where pages share it; only structures around it can be templates.  Elsewhere all elements can."""
+    return not article or element.tag not in INLINE and element.tag not in RUNNING
+
+
+def subtree_hash(element: Element, out: set[bytes] | None = None, article: bool = False) -> tuple[bytes, bool]:
+    """(hash, whether it has text) of a subtree; out collects those of all deletable elements with text."""
     state, full = hashlib.blake2b(element.tag.encode(), digest_size=8), False
     for x in element.children:
         if isinstance(x, str):
@@ -159,16 +166,16 @@ def subtree_hash(element: Element, out: dict[bytes, Element] | None = None) -> t
             full = full or bool(words)
             state.update(b"\0t" + words.encode("utf-8", "surrogatepass"))
         else:
-            inner, has = subtree_hash(x, out)
+            inner, has = subtree_hash(x, out, article)
             full = full or has
             state.update(b"\0e" + inner)
     digest = state.digest()
-    if full and out is not None:
-        out.setdefault(digest, element)
+    if full and out is not None and deletable(element, article):
+        out.add(digest)
     return digest, full
 
 
-def without(element: Element, templates: set[bytes]) -> tuple[bytes, bool]:
+def without(element: Element, templates: set[bytes], article: bool = False) -> tuple[bytes, bool]:
     """Delete the subtrees whose hashes are templates (hashes are those before deletion)."""
     state, full, keep = hashlib.blake2b(element.tag.encode(), digest_size=8), False, []
     for x in element.children:
@@ -178,10 +185,10 @@ def without(element: Element, templates: set[bytes]) -> tuple[bytes, bool]:
             state.update(b"\0t" + words.encode("utf-8", "surrogatepass"))
             keep.append(x)
         else:
-            inner, has = without(x, templates)
+            inner, has = without(x, templates, article)
             full = full or has
             state.update(b"\0e" + inner)
-            if inner not in templates:
+            if inner not in templates or not deletable(x, article):
                 keep.append(x)
     element.children = keep
     return state.digest(), full
@@ -214,7 +221,7 @@ def extract(page: str | None, templates: set[bytes] = frozenset()) -> str:
     parts = main_parts(root)
     if templates:
         for part in parts:
-            without(part, templates)
+            without(part, templates, part.tag in ("article", "main") or part.role == "main")
     return text_of(parts)
 
 
@@ -231,11 +238,11 @@ def _subtrees(batches):
                 root, title = parse(page.as_py() or "")
                 heading = next((text_of([x]) for x in walk(root) if x.tag == "h1"), "")
                 name = int.from_bytes(hashlib.blake2b(f"{title}\0{heading}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                found: dict[bytes, Element] = {}
+                found: set[bytes] = set()
                 for part in main_parts(root):
                     for x in part.children:
                         if not isinstance(x, str):
-                            subtree_hash(x, found)
+                            subtree_hash(x, found, part.tag in ("article", "main") or part.role == "main")
                 host = host_of(url)
                 yield 0, (key, host, name, 0)
                 for digest in found:
