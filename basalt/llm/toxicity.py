@@ -30,6 +30,9 @@ BITS = 20
 TRAIN_ROWS = 12288
 FOLDS = 5
 
+#: Texts whose features are held at once.
+SLICE = 256
+
 #: Rate, its smoothing, L1 (for TRAIN_ROWS rows; it shrinks with the root of fewer), L2 and passes of the training.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 12.0, 1.0, 4
 
@@ -53,7 +56,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _featured(batches):
     schema = pa.schema([("order", pa.int64()), ("label", pa.int32()), ("features", pa.binary())])
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         rows, found = features(batch.column(2))
         keys = np.unique(rows.astype(np.int64) << BITS | found)
         cut = np.searchsorted(keys >> BITS, np.arange(batch.num_rows + 1))
@@ -118,13 +121,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
         at, w = held.value
         dense = np.zeros((1 << BITS) + 1)
         dense[at] = w
-        rows, found = features(pa.Array.from_pandas(texts, type=pa.large_string()))
-        hit = dense[found] != 0
-        keys = np.unique(rows[hit].astype(np.int64) << BITS | found[hit])
-        sums = np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], minlength=len(texts)) + dense[-1]
+        sums = []
+        for part in range(0, len(texts), SLICE):
+            column = pa.Array.from_pandas(texts.iloc[part : part + SLICE], type=pa.large_string())
+            rows, found = features(column)
+            hit = dense[found] != 0
+            keys = np.unique(rows[hit].astype(np.int64) << BITS | found[hit])
+            sums.append(np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], minlength=len(column)) + dense[-1])
         import pandas as pd
 
-        return pd.Series(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(sums), -35, 35))) if sums else [], dtype="float64")
 
     return docs.withColumn("score", scored(text) if trained else F.lit(0.0))
 
