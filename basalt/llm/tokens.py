@@ -72,13 +72,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED)
         end = min(len(raw), at + BLOCK)
         if end < len(raw):  # end between words: at a text's end or behind a separator
             stop = offsets[np.searchsorted(offsets, end, "right") - 1]
-            if stop <= at:
-                while True:
-                    gaps = np.flatnonzero(~word[raw[at:end]])
-                    if len(gaps) or end == len(raw):
-                        break
-                    end = min(len(raw), end + BLOCK, int(offsets[np.searchsorted(offsets, end, "left")]) if end > at + BLOCK else end + BLOCK)
-                stop = at + gaps[-1] + 1 if len(gaps) else end
+            if stop <= at:  # one text fills the block
+                close = int(offsets[np.searchsorted(offsets, at, "right")])
+                gaps = np.flatnonzero(~word[raw[at:end]])
+                while not len(gaps) and end < close:
+                    at_, end = end, min(close, end + BLOCK)
+                    gaps = np.flatnonzero(~word[raw[at_:end]]) + (at_ - at)
+                stop = at + gaps[-1] + 1 if len(gaps) else close
             end = int(stop)
         part = raw[at:end]
         inside = word[part]
