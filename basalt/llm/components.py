@@ -46,24 +46,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(entered: DataFrame) -> DataFrame:
-    """key, node, centre of those rows of entered (key, node) whose key has several nodes, stored.
+    """key, node, centre of those rows of entered (key, node) whose key has several rows, stored.
 
     Keys are counted by a map-side combined aggregation, so a hot key is no hot task."""
-    live = stored(entered.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("high")).filter("centre < high").select("key", "centre"), "live-keys")
+    live = stored(entered.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre"), "live-keys")
     return stored(entered.join(small(live, 16), "key"), "shared-keys")
 
 
 def resolve(shared: DataFrame, verify, points, num: int, den: int) -> DataFrame:
     """node, root of the components under verified links between nodes that share a key.
 
-    verify: pairs (a, b) -> a stored table of those that link at Jaccard num / den.  points: nodes -> node,
+    verify: pairs (a, b) and whether a's may be many for one b -> a stored table of those that link at
+    Jaccard num / den.  points: nodes -> node,
     size, point (counts of hashed groups, see boxes.py).  Every node is first compared with one centre only,
     that of most of its keys.  Keys whose nodes are then still in different components are searched
     for pairs across components that the points do not rule out; all other pairs of a key are connected.
     """
     votes = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
     first = stored(votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b")), "pairs")
-    labels = components(verify(first))
+    labels = components(verify(first, False))
     placed = stored(_relabelled(shared.select("key", "node", F.col("node").alias("root")), "root", labels), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
     open_ = stored(placed.join(mixed, "key"), "open")
@@ -73,6 +74,6 @@ def resolve(shared: DataFrame, verify, points, num: int, den: int) -> DataFrame:
     second = stored(found.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return labels
-    raised = _relabelled(_relabelled(verify(second), "a", labels), "b", labels)
+    raised = _relabelled(_relabelled(verify(second, True), "a", labels), "b", labels)
     again = components(raised)
     return stored(_relabelled(labels, "root", again).unionByName(again.join(labels.select("node"), "node", "left_anti")), "roots")

@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes
-from .common import small, stored, table
-from .components import resolve, shared_keys
+from .common import dropped, small, stored, table
+from .components import components, resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, SPACED, grams, mix, text_bytes, word_hashes
 
-#: Growth of size classes, partners of a centre in one task.
-GROWTH, CHUNK = 1.4, 256
+#: Growth of size classes, partners of a centre and pairs of a cluster in one task.
+GROWTH, CHUNK, CLUSTER = 1.4, 256, 4096
 
 
 class Classes:
@@ -204,17 +204,71 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: i
     return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
 
 
+def _clustered(num: int, den: int):
+    """Sorted rows of a cluster (its sets, then its pairs) -> the pairs that join what is not yet joined."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        now, sets, up = None, {}, {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            out = []
+            for cluster, is_pair, a, b, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                if cluster != now:
+                    now, sets, up = cluster, {}, {}
+                if not is_pair:
+                    sets[a], up[a] = np.frombuffer(data.as_buffer().to_pybytes(), np.uint64), a
+                elif (x := top(a)) != (y := top(b)) and linked(sets[a], sets[b], num, den):
+                    up[y] = x
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return run
+
+
+def verified_clusters(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links among pairs, enough of them to connect what they connect.
+
+    Pairs are gathered by the connected clusters that they form, so a set travels once, not once for each
+    pair.  Clusters of more than CLUSTER pairs are verified around centres instead.
+    """
+    roots = components(pairs)
+    named = pairs.join(roots.withColumnRenamed("node", "_n"), F.col("a") == F.col("_n"), "left").select(F.coalesce("root", "a").alias("cluster"), "a", "b")
+    named = stored(named, "clusters")
+    sizes = stored(named.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes")
+    large = stored(named.join(sizes.filter(F.col("n") > CLUSTER), "cluster").select("a", "b"), "large-clusters")
+    few = named.join(sizes.filter(F.col("n") <= CLUSTER).select("cluster"), "cluster", "left_semi")
+    ends = few.select("cluster", F.col("a").alias("node")).union(few.select("cluster", F.col("b").alias("node"))).distinct()
+    roles = stored(ends.join(nodes, "node").select("node", "sig", F.array(F.struct(F.col("cluster").alias("a"), F.lit(0).alias("chunk"), F.lit(True).alias("first"))).alias("role")), "roles")
+    texts = docs.select("doc_id", "text").join(small(roles, 64), F.col("doc_id") == F.col("node")).select("doc_id", "sig", "role", "text")
+    sets = texts.mapInArrow(_sets(n), "a long, chunk int, first boolean, b long, grams binary")
+    rows = sets.select(F.col("a").alias("cluster"), F.lit(False).alias("is_pair"), F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    rows = rows.unionByName(few.select("cluster", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("grams")))
+    links = rows.repartition("cluster").sortWithinPartitions("cluster", "is_pair").mapInArrow(_clustered(num, den), "a long, b long")
+    if not large.isEmpty():
+        links = links.unionByName(verified(docs, nodes, large, n, num, den))
+    return stored(links, "links")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; documents link at Jaccard >= num / den."""
     points = stored(docs.select("doc_id", "text").mapInArrow(_points(n, num, den), "doc_id long, n_shingles long, sig binary, keys array<long>"), "points")
-    full = points.filter("n_shingles > 0")
+    sized = stored(points.select("doc_id", "n_shingles", "sig"), "sizes")
+    full = sized.filter("n_shingles > 0")
     nodes = stored(full.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node")), "nodes")
-    # One row of points for each node: equal sets have equal keys, any copy's row will do.
-    own = full.select("sig", "doc_id", "keys").join(nodes.withColumnRenamed("node", "doc_id"), ["sig", "doc_id"])
-    entered = stored(own.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "entries")
-    labels = resolve(shared_keys(entered), lambda pairs: verified(docs, nodes, pairs, n, num, den), lambda wanted: points_of(docs, nodes, wanted, n), num, den)
+    # One row of points for each node: equal sets have equal keys, any copy's row will do (a repeated one only repeats).
+    own = points.filter("n_shingles > 0").join(small(nodes.withColumnRenamed("node", "doc_id"), 32), ["sig", "doc_id"])
+    shared = shared_keys(own.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
+    dropped(points)
+    verify = lambda pairs, many: (verified_clusters if many else verified)(docs, nodes, pairs, n, num, den)
+    labels = resolve(shared, verify, lambda wanted: points_of(docs, nodes, wanted, n), num, den)
     named = nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
-    empty = points.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = sized.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.select("doc_id", "n_shingles", "sig").join(named, "sig", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 

@@ -191,7 +191,7 @@ def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("f"), F.count("*").alias("n"))
     nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.keys", "n"), "line-nodes")
     shared = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
-    labels = resolve(shared, lambda pairs: verified(known, nodes, pairs, num, den), lambda wanted: points_of(known, nodes, wanted), num, den)
+    labels = resolve(shared, lambda pairs, _: verified(known, nodes, pairs, num, den), lambda wanted: points_of(known, nodes, wanted), num, den)
     rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     # Components of one line that occurs once decide nothing.
