@@ -25,11 +25,12 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the tables that its statements name (schemas only are read here)."""
+def engine(spark: SparkSession, sf_dir: str, text: str | None = None) -> Engine:
+    """An engine over the tables that a text mentions (all, without one); only their schemas are read here."""
     out = Engine(spark)
     for name in TABLES:
-        out.register(name, t(spark, sf_dir, name))
+        if text is None or name in text:
+            out.register(name, t(spark, sf_dir, name))
     return out
 
 
@@ -47,7 +48,7 @@ def query(sql: str | None = None):
 
 def dialect(name: str, text: str, oracle: str | None = None) -> None:
     """Register a query of the dialect; the oracle's text is the same unless given."""
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir).sql(text)
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, text).sql(text)
     SQL[name] = oracle or text
 
 
