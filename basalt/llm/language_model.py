@@ -7,8 +7,8 @@ distinct left extensions; discounts, back-off weights and interpolated probabili
 count tables on (language, n-gram), which Spark shards by hash.
 
 Scoring looks every position up: the probability of the longest stored n-gram, times the back-off
-weights of the longer contexts.  The model is broadcast to the scorers where its counted rows are few
-(SMALL); a larger model is joined, sharded, with the documents' distinct n-grams instead.  Both ways give
+weights of the longer contexts.  Where the model's counted rows are few (SMALL), every worker reads it from
+the shared folder; a larger model is joined, sharded, with the documents' distinct n-grams instead.  Both ways give
 the same perplexities (tests compare them).
 
 A document is kept if its perplexity is at most MARGIN times the QUANTILE of the perplexities of trusted documents of
@@ -22,8 +22,6 @@ alike; an empty table gives no rows; other columns are ignored; texts are scored
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,7 +113,7 @@ def train(texts: DataFrame) -> DataFrame:
             level = level.unionByName(root)
         every = stored(level if every is None else every.unionByName(level), "model")
         if k == ORDER:
-            return every.select("lang", "k", "gram", F.log("p").alias("logp"), F.log("left").alias("backoff"))
+            return stored(every.select("lang", "k", "gram", F.log("p").alias("logp"), F.log("left").alias("backoff")), "language-model")
 
 
 class Lookup:
@@ -173,13 +171,30 @@ class Lookup:
 _held: dict = {}
 
 
-def scorer(model, langs, name: str):
+def load(files: list[str]) -> tuple[Lookup, dict[str, int]]:
+    """The stored model's table, and the number of each language in it."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    parts = []
+    for f in files:
+        store, place = fs.FileSystem.from_uri(f)
+        parts.append(parquet.ParquetFile(store.open_input_file(place)).read())
+    model = pa.concat_tables(parts)
+    lang = model["lang"].combine_chunks().dictionary_encode() if len(model) else pa.array([], pa.string()).dictionary_encode()
+    lookup = Lookup(lang.indices.to_numpy(), *(model[c].to_numpy() for c in ("k", "gram", "logp", "backoff")))
+    return lookup, {x: i for i, x in enumerate(lang.dictionary.to_pylist())}
+
+
+def scorer(files: list[str]):
+    """A function for mapInArrow; each worker process reads the model once, from the shared folder."""
+
     def run(batches):
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("log_p", pa.float64())])
-        if name not in _held:
+        if _held.get("files") != files:
             _held.clear()
-            _held[name] = Lookup(*model.value)
-        lookup, place = _held[name], {x: i for i, x in enumerate(langs)}
+            _held.update(files=files, model=load(files))
+        lookup, place = _held["model"]
         for batch in batches:
             for part in slices(batch):
                 names = part.column(2).to_pylist()
@@ -227,11 +242,7 @@ def score(docs: DataFrame, model: DataFrame, limit: int = SMALL) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", "text")
     if model.count() * 24 > limit:
         return score_sharded(rows.distinct(), model)
-    langs = sorted(r[0] for r in model.select("lang").distinct().collect())  # at most the model's counted rows
-    held = model.toPandas()
-    lang = np.searchsorted(np.array(langs, dtype=object), held["lang"].to_numpy()) if langs else np.zeros(0)
-    sent = docs.sparkSession.sparkContext.broadcast((lang.astype(np.uint64), held["k"].to_numpy(np.uint64), held["gram"].to_numpy(np.uint64), held["logp"].to_numpy(np.float32), held["backoff"].to_numpy(np.float32)))
-    return rows.mapInArrow(scorer(sent, langs, uuid.uuid4().hex), "row long, doc_id long, lang string, n_bytes long, log_p double")
+    return rows.mapInArrow(scorer(sorted(model.inputFiles())), "row long, doc_id long, lang string, n_bytes long, log_p double")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, limit: int = SMALL) -> DataFrame:
