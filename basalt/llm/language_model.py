@@ -95,6 +95,7 @@ def train(texts: DataFrame) -> DataFrame:
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         d = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(0.5 * i) for i in (1, 2, 3)]
         of = of.select("lang", *(F.least(F.greatest(x, F.lit(0.1)), F.lit(i - 0.1)).alias(f"d{i}") for i, x in enumerate(d, 1)))
+        of = small(stored(of, "discounts"), 64)  # a row for each language: a hot language's counts are not shuffled to one task
         level = counts[k].join(of, "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
         level = level.withColumn("context", F.shiftright("gram", 8))
         contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("kept_back"))
@@ -255,8 +256,8 @@ def quality(docs: DataFrame, trusted: DataFrame, limit: int = SMALL) -> DataFram
     test = scored.join(small(ids.filter("held_out"), 24), F.col("doc_id") == F.col("_id")).filter("perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000))
     limits = stored(test.groupBy("lang").agg(cut.alias("own")), "limits")
-    overall = test.agg(cut.alias("overall"))
-    out = scored.join(small(limits, 64), "lang", "left").crossJoin(F.broadcast(overall)).withColumn("threshold", MARGIN * F.coalesce("own", "overall"))  # one row
+    overall = test.agg(cut).first()[0]
+    out = scored.join(small(limits, 64), "lang", "left").withColumn("threshold", MARGIN * F.coalesce("own", F.lit(overall).cast("double")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", F.when(F.col("lang") != "none", F.substring("lang", 3, 1 << 30)).alias("lang"), "n_bytes", "perplexity", "threshold", keep.alias("keep"))
 
