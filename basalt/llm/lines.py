@@ -7,7 +7,7 @@ with 0.99997.  Candidates are verified by the exact Jaccard similarity of their
 are closed to components by distributed union-find, and of each component one line stays: the one
 that comes first by (doc_id, line number).
 
-Keys are counted by map-side combined aggregations; candidates of a key are compared with one centre
+Keys are counted by map-side combined aggregations and cut by size class (exact); candidates of a key are compared with one centre
 in chunks, then across components (see components.py), never all pairs.  Line texts are read again
 from the documents, for nodes with candidates only.
 
@@ -37,10 +37,10 @@ MIN_CHARS = 20
 CHUNK = 256
 
 #: Characters of texts that are hashed at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
-_seeds = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64) * MULTIPLIER)
-XORS, FACTORS = _seeds[: ROWS * BANDS].astype(np.uint32), _seeds[ROWS * BANDS :].astype(np.uint32) | np.uint32(1)
+#: Odd factors: each permutes the (already mixed) 32-bit hashes.
+FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(chars: np.ndarray) -> np.ndarray:
@@ -65,27 +65,35 @@ def line_id(line: str) -> int:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line of MIN_CHARS characters at least."""
+    return signed(lines)[0]
+
+
+def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each line, and the sizes of the shingle sets."""
     chars = code_points("\n".join(lines))
     starts = np.zeros(len(lines), np.int64)
     sizes = np.array([len(x) for x in lines], np.int64)
     np.cumsum(sizes[:-1] + 1, out=starts[1:])
-    x = (shingles(chars) >> np.uint64(32)).astype(np.uint32)
+    wide = shingles(chars)
+    size = np.array([len(np.unique(wide[a : a + n - SHINGLE + 1])) for a, n in zip(starts.tolist(), sizes.tolist())], np.int32)
+    x = (wide >> np.uint64(32)).astype(np.uint32)
     cuts = np.empty(2 * len(lines), np.int64)
     cuts[::2], cuts[1::2] = starts, starts + sizes - SHINGLE + 1
     keys = np.zeros((len(lines), BANDS), np.uint64)
+    y = np.empty_like(x)
     for i in range(ROWS * BANDS):
-        low = np.minimum.reduceat((x ^ XORS[i]) * FACTORS[i], cuts)[::2]
+        np.multiply(x, FACTORS[i], out=y)
+        low = np.minimum.reduceat(y, cuts)[::2]
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * MULTIPLIER + low + np.uint64(i + 1))
-    return keys.view(np.int64)
+    return keys.view(np.int64), size
 
 
 def _signed(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def rows(held):
-        keys = band_keys([line for _, _, line in held])
-        for (key, no, line), k in zip(held, keys):
-            yield 100, (key, no, line_id(line), k)
+        for (key, no, line), k, n in zip(held, *signed([line for _, _, line in held])):
+            yield 100, (key, no, line_id(line), n, k)
 
     def blocks():
         held, size = [], 0
@@ -184,13 +192,21 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, num: int, den:
     return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
 
 
+def by_size(shared: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The shared keys cut by size: sets that link differ in size by den / num at most, so they are in
+    one or in adjoining size classes.  No link is lost; most chance candidates part here."""
+    sized = shared.select("key", "node").join(nodes.select("node", "size"), "node")
+    class_ = F.floor(F.log("size") / float(np.log(1.01 * den / num)))
+    return shared_keys(sized.select(F.explode(F.array(class_, class_ - 1)).alias("class"), "key", "node").select(F.xxhash64("key", "class").alias("key"), "node"))
+
+
 def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, gone: the numbers (from 0) of the lines that go, for documents that lose any."""
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    signed = stored(known.mapInArrow(_signed, "doc_id long, line_no int, node long, keys array<long>"), "lines")
-    first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "keys")).alias("f"), F.count("*").alias("n"))
-    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.keys", "n"), "line-nodes")
-    shared = shared_keys(nodes.select("node", F.explode("keys").alias("key")))
+    signed = stored(known.mapInArrow(_signed, "doc_id long, line_no int, node long, size int, keys array<long>"), "lines")
+    first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "size", "keys")).alias("f"), F.count("*").alias("n"))
+    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.size", "f.keys", "n"), "line-nodes")
+    shared = by_size(shared_keys(nodes.select("node", F.explode("keys").alias("key"))), nodes, num, den)
     labels = resolve(shared, lambda pairs, _: verified(known, nodes, pairs, num, den), lambda wanted: points_of(known, nodes, wanted), num, den)
     rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
