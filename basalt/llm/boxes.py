@@ -18,13 +18,13 @@ GROUPS, FOLD, BLOCK, STRIPE = 256, 4, 1024, 64
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts by the hashes' lowest bits; counts beyond 16 bits are held at the top (see ruled_out)."""
+    """Counts by the hashes' lowest bits; counts beyond 16 bits are held at the top, where they rule nothing out."""
     return np.minimum(np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
 
 
 def search(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sizes: np.ndarray, points: np.ndarray, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (smaller node, larger node) across roots that the bounds leave, of one block or between two."""
-    coarse = points.reshape(len(points), GROUPS // FOLD, FOLD).sum(2, dtype=np.int32)
+    coarse = points.reshape(len(points), -1, FOLD).sum(2, dtype=np.int32)
     order = np.argsort(sizes, kind="stable")
     out_a, out_b = [], []
     for at in range(0, len(order), STRIPE):
@@ -50,7 +50,7 @@ def search(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sizes: np.nd
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _searched(num: int, den: int):
+def _searched(num: int, den: int, search):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -59,7 +59,7 @@ def _searched(num: int, den: int):
 
         def leaf():
             nodes, roots, sides, sizes = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            points = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), GROUPS)
+            points = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), -1)
             a, b = search(nodes, roots, sides, sizes, points, now[1] == now[2], num, den)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
@@ -77,10 +77,10 @@ def _searched(num: int, den: int):
     return run
 
 
-def candidates(leaves: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) with a < b of leaves (key, node, root, n: nodes of the key) that may link."""
+def candidates(leaves: DataFrame, points: DataFrame, num: int, den: int, search=search) -> DataFrame:
+    """Distinct pairs (a, b) with a < b of leaves (key, node, root, n: nodes of the key) that search leaves as possible links."""
     rows = leaves.join(points, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "root", "side", "size", "point")
     dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(_searched(num, den), "a long, b long").distinct()
+    return dealt.mapInArrow(_searched(num, den, search), "a long, b long").distinct()

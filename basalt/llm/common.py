@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,20 +37,69 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Folders of the tables that the running tidied functions of this thread have stored.
+_running = threading.local()
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet into the shared folder and read again: lineage ends here, and the
-    files' size lets Spark judge which join sides are small enough to broadcast."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files' size lets Spark judge which join sides are small enough to broadcast.
+
+    Nothing reads the write's shuffles again, so their files go with it, not when the driver next happens
+    to collect its garbage; while it runs they stay, so lost executors cost no more than usual."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    if getattr(_running, "made", None):
+        _running.made[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _deleted(spark: SparkSession, root: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing will read any more."""
-    spark = df.sparkSession
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(df.sparkSession, root)
+
+
+def tidied(name: str):
+    """Decorate a function so that its result is stored under name and the tables it stored on the way are deleted."""
+
+    def around(f):
+        @functools.wraps(f)
+        def run(*args, **options):
+            _running.made = getattr(_running, "made", None) or []
+            _running.made.append([])
+            try:
+                df = f(*args, **options)
+                made, _running.made[-1] = _running.made[-1], []
+                out = stored(df, name)
+            finally:
+                kept = _running.made.pop()
+            if _running.made:
+                _running.made[-1].extend(kept)
+            for path in made:
+                _deleted(out.sparkSession, path)
+            return out
+
+        return run
+
+    return around
 
 
 #: Bytes up to which a counted table is broadcast.

@@ -45,32 +45,35 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def shared_keys(entered: DataFrame) -> DataFrame:
-    """key, node, centre of those rows of entered (key, node) whose key has several rows, stored.
+def shared_keys(entered: DataFrame, distinct: bool = True) -> DataFrame:
+    """key, node, centre of the rows of entered (key, node) whose key has several nodes, stored.
 
-    Keys are counted by a map-side combined aggregation, so a hot key is no hot task."""
-    live = stored(entered.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre"), "live-keys")
-    return stored(entered.join(small(live, 16), "key"), "shared-keys")
+    Keys are looked up by a map-side combined aggregation, so a hot key is no hot task.  Where rows of entered
+    may repeat, distinct is False and repeats go here, once most keys are out."""
+    ends = entered.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+    live = stored(ends.filter("centre < last").select("key", "centre"), "live-keys")
+    shared = entered.join(small(live, 16), "key")
+    return stored(shared if distinct else shared.distinct(), "shared-keys")
 
 
-def resolve(shared: DataFrame, verify, points, num: int, den: int) -> DataFrame:
+def resolve(shared: DataFrame, verify, points, num: int, den: int, likely=lambda pairs: pairs, search=boxes.search) -> DataFrame:
     """node, root of the components under verified links between nodes that share a key.
 
     verify: pairs (a, b) and whether a's may be many for one b -> a stored table of those that link at
     Jaccard num / den.  points: nodes -> node,
-    size, point (counts of hashed groups, see boxes.py).  Every node is first compared with one centre only,
-    that of most of its keys.  Keys whose nodes are then still in different components are searched
+    size, point (counts of hashed groups, see boxes.py, or what else search takes).  likely: rows (a, b, n) -> those worth
+    verifying.  Every node is first compared with one centre only, that of most of its keys.  Keys whose nodes are then still in different components are searched
     for pairs across components that the points do not rule out; all other pairs of a key are connected.
     """
-    votes = shared.filter("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
-    first = stored(votes.groupBy("node").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("node").alias("b")), "pairs")
+    votes = likely(shared.filter("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")))
+    first = stored(votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     labels = components(verify(first, False))
     placed = stored(_relabelled(shared.select("key", "node", F.col("node").alias("root")), "root", labels), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
     open_ = stored(placed.join(mixed, "key"), "open")
     if open_.isEmpty():
         return labels
-    found = boxes.candidates(open_, points(stored(open_.select("node").distinct(), "open-nodes")), num, den)
+    found = boxes.candidates(open_, points(stored(open_.select("node").distinct(), "open-nodes")), num, den, search)
     second = stored(found.join(first, ["a", "b"], "left_anti"), "pairs")
     if second.isEmpty():
         return labels

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes
-from .common import dropped, small, stored, table
+from .common import dropped, small, stored, table, tidied
 from .components import components, resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, SPACED, grams, mix, text_bytes, word_hashes
@@ -255,6 +255,7 @@ def verified_clusters(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: in
     return stored(links, "links")
 
 
+@tidied("groups")
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; documents link at Jaccard >= num / den."""
     points = stored(docs.select("doc_id", "text").mapInArrow(_points(n, num, den), "doc_id long, n_shingles long, sig binary, keys array<long>"), "points")

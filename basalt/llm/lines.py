@@ -2,14 +2,16 @@
 
 A line (stripped, of MIN_CHARS characters at least) is the set of its 5-character shingles.  Equal
 lines are one node.  ROWS * BANDS permutations of the shingle hashes give a signature, its BANDS
-band keys give the candidates: at similarity 0.8 a pair shares a key with probability 0.995, at 0.9
-with 0.99997.  Candidates are verified by the exact Jaccard similarity of their shingle sets, links
+band keys give the candidates: at similarity 0.8 a pair shares a key with probability 0.996, at 0.9
+with 0.999996.  Two bits of each of the first SKETCH minima are a node's sketch; candidates whose sketches differ in
+five standard deviations more places than pairs at the threshold do on average are let go (of pairs at 0.8
+about 1 in 100,000).  The other candidates are verified by the exact Jaccard similarity of their shingle sets, links
 are closed to components by distributed union-find, and of each component one line stays: the one
 that comes first by (doc_id, line number).
 
-Keys are counted by map-side combined aggregations and cut by size class (exact); candidates of a key are compared with one centre
-in chunks, then across components (see components.py), never all pairs.  Line texts are read again
-from the documents, for nodes with candidates only.
+Keys that several lines share are found by a map-side combined aggregation; candidates of a key are compared
+with one centre in chunks, then across components (see components.py), never all pairs.  Line texts are read
+again from the documents, for nodes with candidates only.
 
 Defined results: a null text has no lines and stays null; empty and short lines always stay; a document
 with a null doc_id stays as it is and takes no part; rows sharing a doc_id are decided alike, so a repeated
@@ -27,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes
-from .common import small, stored, table
+from .common import dropped, small, stored, table, tidied
 from .components import resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, mix
 
-SHINGLE, ROWS, BANDS = 5, 4, 10
+SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
 MIN_CHARS = 20
 CHUNK = 256
 
@@ -63,60 +65,114 @@ def line_id(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def wide_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the joined lines' shingles; where each line begins; how many shingles it has (with repeats)."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    starts = np.zeros(len(lines), np.int64)
+    np.cumsum(sizes[:-1] + 1, out=starts[1:])
+    return shingles(code_points("\n".join(lines))), starts, sizes - SHINGLE + 1
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line of MIN_CHARS characters at least."""
-    return signed(lines)[0]
+    return signatures(lines)[0]
 
 
-def signed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The band keys of each line, and the sizes of the shingle sets."""
-    chars = code_points("\n".join(lines))
-    starts = np.zeros(len(lines), np.int64)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    np.cumsum(sizes[:-1] + 1, out=starts[1:])
-    wide = shingles(chars)
-    size = np.array([len(np.unique(wide[a : a + n - SHINGLE + 1])) for a, n in zip(starts.tolist(), sizes.tolist())], np.int32)
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of each line, and its sketch: two words that hold one bit of each minimum."""
+    wide, starts, sizes = wide_shingles(lines)
     x = (wide >> np.uint64(32)).astype(np.uint32)
     cuts = np.empty(2 * len(lines), np.int64)
-    cuts[::2], cuts[1::2] = starts, starts + sizes - SHINGLE + 1
-    keys = np.zeros((len(lines), BANDS), np.uint64)
+    cuts[::2], cuts[1::2] = starts, starts + sizes
+    keys, sketch = np.zeros((len(lines), BANDS), np.uint64), np.zeros((len(lines), 2), np.uint64)
     y = np.empty_like(x)
     for i in range(ROWS * BANDS):
         np.multiply(x, FACTORS[i], out=y)
         low = np.minimum.reduceat(y, cuts)[::2]
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * MULTIPLIER + low + np.uint64(i + 1))
-    return keys.view(np.int64), size
+        if i < SKETCH:
+            bits = (low * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(30)).astype(np.uint64)
+            sketch[:, 0] |= (bits & np.uint64(1)) << np.uint64(i)
+            sketch[:, 1] |= (bits >> np.uint64(1)) << np.uint64(i)
+    return keys.view(np.int64), sketch.view(np.int64)
+
+
+def most_places(num: int, den: int) -> int:
+    """Places of SKETCH in which the sketches of a pair worth verifying differ."""
+    p = (den - num) / den * 0.75
+    return int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)
+
+
+def search(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sizes: np.ndarray, points: np.ndarray, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller node, larger node) across roots with near sketches, of one block or between two."""
+    sketch, most = points.view(np.uint64), most_places(num, den)
+    out_a, out_b = [], []
+    for at in range(0, len(nodes), boxes.STRIPE):
+        x = sketch[at : at + boxes.STRIPE, None] ^ sketch[None, at:]
+        near = np.bitwise_count(x[:, :, 0] | x[:, :, 1]) <= most
+        i, j = np.nonzero(near)
+        use = i < j
+        i, j = i[use] + at, j[use] + at
+        use = roots[i] != roots[j]
+        if not same:
+            use &= sides[i] != sides[j]
+        out_a.append(np.minimum(nodes[i[use]], nodes[j[use]]))
+        out_b.append(np.maximum(nodes[i[use]], nodes[j[use]]))
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def near_sketches(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose sketches are near."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("s0").alias(f"{end}0"), F.col("s1").alias(f"{end}1")), end)
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")).bitwiseOR(F.col("a1").bitwiseXOR(F.col("b1"))))
+    return pairs.filter(apart <= most_places(num, den)).drop("a0", "a1", "b0", "b1")
 
 
 def _signed(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
-
-    def rows(held):
-        for (key, no, line), k, n in zip(held, *signed([line for _, _, line in held])):
-            yield 100, (key, no, line_id(line), n, k)
-
-    def blocks():
-        held, size = [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for no, line in enumerate((text.as_py() or "").split("\n")):
-                    line = line.strip()
-                    if len(line) >= MIN_CHARS:
-                        held.append((key, no, line))
-                        size += len(line)
-                        if size >= BLOCK:
-                            yield from rows(held)
-                            held, size = [], 0
-        if held:
-            yield from rows(held)
-
-    yield from flushed(blocks(), schema)
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def block(ids, numbers, lines):
+        keys, sketch = signatures(lines)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(lines) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), keys], schema=schema)
+
+    ids, numbers, lines, size = [], [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for no, line in enumerate((text.as_py() or "").split("\n")):
+                line = line.strip()
+                if len(line) >= MIN_CHARS:
+                    ids.append(key)
+                    numbers.append(no)
+                    lines.append(line)
+                    size += len(line)
+                    if size >= BLOCK:
+                        yield block(ids, numbers, lines)
+                        ids, numbers, lines, size = [], [], [], 0
+    if lines:
+        yield block(ids, numbers, lines)
 
 
 def line_set(line: str) -> np.ndarray:
     return np.unique(shingles(code_points(line))[: len(line) - SHINGLE + 1])
 
 
+def line_sets(lines: list[str]):
+    """The line_set of each line, hashed in blocks."""
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and size < BLOCK:
+            size += len(lines[end])
+            end += 1
+        wide, starts, sizes = wide_shingles(lines[at:end])
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            yield np.unique(wide[a : a + n])
+        at = end
+
+
 def _lines(batches):
     """Rows (roles, text) -> the lines that the roles name."""
     schema = pa.schema([("a", pa.int64()), ("chunk", pa.int32()), ("first", pa.bool_()), ("b", pa.int64()), ("line", pa.string())])
@@ -133,28 +189,10 @@ def _lines(batches):
     yield from flushed(rows(), schema)
 
 
-def _pointed(batches):
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("point", pa.binary())])
-
-    def rows():
-        for batch in batches:
-            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lines = (text.as_py() or "").split("\n")
-                for r in wanted:
-                    line = lines[r["line_no"]].strip() if r["line_no"] < len(lines) else ""
-                    if len(line) >= MIN_CHARS and line_id(line) == r["node"]:
-                        found = line_set(line)
-                        yield 2 * boxes.GROUPS, (r["node"], len(found), boxes.point(found).tobytes())
-
-    yield from flushed(rows(), schema)
-
-
-def points_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, size and point of the wanted lines, stored."""
-    places = nodes.select("node", "doc_id", "line_no").join(wanted, "node")
-    asked = stored(places.groupBy("doc_id").agg(F.collect_list(F.struct("node", "line_no")).alias("wanted")), "wanted")  # a document's own lines
-    texts = docs.select("doc_id", "text").join(small(asked, 96), "doc_id").select("wanted", "text")
-    return stored(texts.mapInArrow(_pointed, "node long, size long, point binary").dropDuplicates(["node"]), "points")
+def points_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, size (none needed) and point of the wanted nodes: their sketches."""
+    words = F.concat(*(F.unhex(F.lpad(F.hex(s), 16, "0")) for s in ("s0", "s1")))
+    return nodes.join(wanted, "node").select("node", F.lit(0).cast("long").alias("size"), words.alias("point"))
 
 
 def _verified(num: int, den: int):
@@ -164,13 +202,14 @@ def _verified(num: int, den: int):
         held, centre = None, None
         for batch in batches:
             out = {}
-            for a, chunk, first, b, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            rows = (batch.column(i).to_pylist() for i in range(4))
+            for a, chunk, first, b, found in zip(*rows, line_sets(batch.column(4).to_pylist())):
                 if first:
-                    held, centre = (a, chunk), line_set(line)
+                    held, centre = (a, chunk), found
                 elif held == (a, chunk):
-                    found = line_set(line)
                     if den * min(len(found), len(centre)) >= num * max(len(found), len(centre)):
-                        both = len(np.intersect1d(centre, found, assume_unique=True))
+                        at = np.searchsorted(centre, found)
+                        both = int((centre[np.minimum(at, len(centre) - 1)] == found).sum())
                         if den * both >= num * (len(centre) + len(found) - both):
                             out[a, b] = True
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
@@ -192,30 +231,24 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, num: int, den:
     return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
 
 
-def by_size(shared: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The shared keys cut by size: sets that link differ in size by den / num at most, so they are in
-    one or in adjoining size classes.  No link is lost; most chance candidates part here."""
-    sized = shared.select("key", "node").join(nodes.select("node", "size"), "node")
-    class_ = F.floor(F.log("size") / float(np.log(1.01 * den / num)))
-    return shared_keys(sized.select(F.explode(F.array(class_, class_ - 1)).alias("class"), "key", "node").select(F.xxhash64("key", "class").alias("key"), "node"))
-
-
+@tidied("removals")
 def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, gone: the numbers (from 0) of the lines that go, for documents that lose any."""
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    signed = stored(known.mapInArrow(_signed, "doc_id long, line_no int, node long, size int, keys array<long>"), "lines")
-    first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "size", "keys")).alias("f"), F.count("*").alias("n"))
-    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.size", "f.keys", "n"), "line-nodes")
-    shared = by_size(shared_keys(nodes.select("node", F.explode("keys").alias("key"))), nodes, num, den)
-    labels = resolve(shared, lambda pairs, _: verified(known, nodes, pairs, num, den), lambda wanted: points_of(known, nodes, wanted), num, den)
-    rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
+    signed = stored(known.mapInArrow(_signed, "doc_id long, line_no int, node long, s0 long, s1 long, keys array<long>"), "signed")
+    shared = shared_keys(signed.select("node", F.explode("keys").alias("key")), distinct=False)
+    places = stored(signed.select("node", "doc_id", "line_no"), "places")
+    first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "s0", "s1")).alias("f"), F.count("*").alias("n"))
+    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.s0", "f.s1", "n"), "line-nodes")
+    dropped(signed)
+    likely = lambda pairs: near_sketches(pairs, nodes, num, den)
+    labels = resolve(shared, lambda pairs, _: verified(known, nodes, pairs, num, den), lambda wanted: points_of(nodes, wanted), num, den, likely, search)
+    rooted = stored(nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root")), "rooted")
     # Components of one line that occurs once decide nothing.
     keepers = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     decided = stored(rooted.join(keepers.select("root", "keep"), "root").select("node", "keep"), "decided")
-    places = signed.select("node", "doc_id", "line_no").join(small(decided, 48), "node")
-    lost = places.filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
-    return stored(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "removals")
+    lost = places.join(small(decided, 48), "node").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
+    return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:

@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard of 0.8 or more) the smallest doc_id."""
-    groups = stored(jaccard.jaccard_components(docs, 5, 8, 10), "groups")
+    groups = jaccard.jaccard_components(docs, 5, 8, 10)
     gone = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone")
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(COLUMNS)
 
