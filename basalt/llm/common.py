@@ -111,6 +111,12 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
 
 
+def small_lists(df: DataFrame, column: str, item_bytes: int) -> DataFrame:
+    """The same for a table whose rows hold lists of any length in column: their items are counted."""
+    items = df.agg(F.sum(F.size(column) + 2)).first()[0] or 0
+    return F.broadcast(df) if items * item_bytes <= SMALL else df.hint("merge")
+
+
 def ascii_lower(col):
     """A-Z lower-cased, nothing else."""
     return F.translate(col, UPPER, LOWER)

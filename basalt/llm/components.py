@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from . import boxes
 from .common import small, stored
 
+#: Linear rounds of comparing components around centres before keys are searched for what is left.
+ROUNDS = 2
+
 
 def _relabelled(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """df with column replaced by its parent, where it has one."""
@@ -56,27 +59,39 @@ def shared_keys(entered: DataFrame, distinct: bool = True) -> DataFrame:
     return stored(shared if distinct else shared.distinct(), "shared-keys")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, root) with the components that links connect made one."""
+    again = components(_relabelled(_relabelled(links, "a", labels), "b", labels))
+    return stored(_relabelled(labels, "root", again).unionByName(again.join(labels.select("node"), "node", "left_anti")), "roots")
+
+
 def resolve(shared: DataFrame, verify, points, num: int, den: int, likely=lambda pairs: pairs, search=boxes.search) -> DataFrame:
     """node, root of the components under verified links between nodes that share a key.
 
     verify: pairs (a, b) and whether a's may be many for one b -> a stored table of those that link at
     Jaccard num / den.  points: nodes -> node,
     size, point (counts of hashed groups, see boxes.py, or what else search takes).  likely: rows (a, b, n) -> those worth
-    verifying.  Every node is first compared with one centre only, that of most of its keys.  Keys whose nodes are then still in different components are searched
+    verifying.  Every node is first compared with one centre only, that of most of its keys; then, in ROUNDS, other centres of its keys, one pair for each two components.  Keys whose nodes are then still in different components are searched
     for pairs across components that the points do not rule out; all other pairs of a key are connected.
     """
-    votes = likely(shared.filter("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n")))
+    votes = stored(likely(shared.filter("node <> centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))), "votes")
     first = stored(votes.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     labels = components(verify(first, False))
+    tried = first
+    for _ in range(ROUNDS):  # one pair for each two components that a centre and a node of its key belong to
+        placed = _relabelled(votes.select("a", "b", "n", F.col("a").alias("ra"), F.col("b").alias("rb")), "ra", labels)
+        apart = _relabelled(placed, "rb", labels).filter("ra <> rb").join(tried, ["a", "b"], "left_anti")
+        best = F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("p")
+        more = stored(apart.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(best).select("p.a", "p.b"), "pairs")
+        if more.isEmpty():
+            break
+        labels = _joined(labels, verify(more, True))
+        tried = stored(tried.unionByName(more), "tried")
     placed = stored(_relabelled(shared.select("key", "node", F.col("node").alias("root")), "root", labels), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
     open_ = stored(placed.join(mixed, "key"), "open")
     if open_.isEmpty():
         return labels
     found = boxes.candidates(open_, points(stored(open_.select("node").distinct(), "open-nodes")), num, den, search)
-    second = stored(found.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        return labels
-    raised = _relabelled(_relabelled(verify(second, True), "a", labels), "b", labels)
-    again = components(raised)
-    return stored(_relabelled(labels, "root", again).unionByName(again.join(labels.select("node"), "node", "left_anti")), "roots")
+    last = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return labels if last.isEmpty() else _joined(labels, verify(last, True))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes
-from .common import dropped, small, stored, table, tidied
+from .common import dropped, small, small_lists, stored, table, tidied
 from .components import resolve, shared_keys
 from .media import flushed
 from .tokens import MULTIPLIER, mix
@@ -225,7 +225,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, num: int, den:
     placed = partners.unionByName(centres).join(nodes.select(F.col("node").alias("b"), "doc_id", "line_no"), "b")
     # A document's roles: its own lines, each for a centre and its chunks.
     roles = stored(placed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "a", "chunk", "first", "b")).alias("roles")), "roles")
-    texts = docs.select("doc_id", "text").join(small(roles, 256), "doc_id").select("roles", "text")
+    texts = docs.select("doc_id", "text").join(small_lists(roles, "roles", 64), "doc_id").select("roles", "text")
     lines = texts.mapInArrow(_lines, "a long, chunk int, first boolean, b long, line string")
     dealt = lines.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
     return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
@@ -256,7 +256,7 @@ def dedup(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     gone = removals(docs, num, den).withColumnRenamed("doc_id", "_id")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    joined = docs.join(small(gone, 128), F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.join(small_lists(gone, "gone", 8), F.col("doc_id") == F.col("_id"), "left")
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
     return joined.withColumns({"n_lines": n, "n_kept": n - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)}).drop("_id", "gone")
