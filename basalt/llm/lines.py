@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash.
 
-A line (stripped, of MIN_CHARS characters at least) is the set of its 5-character shingles.  Equal
-lines are one node.  ROWS * BANDS permutations of the shingle hashes give a signature, its BANDS
+A line (stripped, of min_chars characters at least) is the set of its 5-character shingles; one with fewer
+characters than that has no shingles and is grouped with its equals only.  Equal
+lines are one node.  The query and the pipeline take every non-empty line (min_chars = 1).  ROWS * BANDS permutations of the shingle hashes give a signature, its BANDS
 band keys give the candidates: at similarity 0.8 a pair shares a key with probability 0.996, at 0.9
 with 0.999996.  Two bits of each of the first SKETCH minima are a node's sketch; candidates whose sketches differ in
 five standard deviations more places than pairs at the threshold do on average are let go (of pairs at 0.8
@@ -13,7 +14,7 @@ Keys that several lines share are found by a map-side combined aggregation; cand
 with one centre in chunks, then across components (see components.py), never all pairs.  Line texts are read
 again from the documents, for nodes with candidates only.
 
-Defined results: a null text has no lines and stays null; empty and short lines always stay; a document
+Defined results: a null text has no lines and stays null; empty lines, and those under min_chars, always stay; a document
 with a null doc_id stays as it is and takes no part; rows sharing a doc_id are decided alike, so a repeated
 row keeps what the first keeps; a document all of whose lines go has an empty text; an empty table gives
 no rows; other columns pass through ``dedup`` untouched.  Node ids are 64 bits of a line's digest.
@@ -35,6 +36,7 @@ from .media import flushed
 from .tokens import MULTIPLIER, mix
 
 SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
+#: What dedup takes as min_chars if nothing is given.
 MIN_CHARS = 20
 CHUNK = 256
 
@@ -74,7 +76,7 @@ def wide_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys for each line of MIN_CHARS characters at least."""
+    """BANDS keys for each line of SHINGLE characters at least."""
     return signatures(lines)[0]
 
 
@@ -129,30 +131,38 @@ def near_sketches(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
     return pairs.filter(apart <= most_places(num, den)).drop("a0", "a1", "b0", "b1")
 
 
-def _signed(batches):
+def _signed(min_chars: int):
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def block(ids, numbers, lines):
-        keys, sketch = signatures(lines)
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(lines) + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        """Lines without shingles have no keys, so nothing but their equals is compared with them."""
+        full = np.array([len(x) >= SHINGLE for x in lines])
+        keys, sketch = np.zeros((0, BANDS), np.int64), np.zeros((len(lines), 2), np.int64)
+        if full.any():
+            keys, sketch[full] = signatures([x for x in lines if len(x) >= SHINGLE])
+        ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
         columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), keys], schema=schema)
 
-    ids, numbers, lines, size = [], [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for no, line in enumerate((text.as_py() or "").split("\n")):
-                line = line.strip()
-                if len(line) >= MIN_CHARS:
-                    ids.append(key)
-                    numbers.append(no)
-                    lines.append(line)
-                    size += len(line)
-                    if size >= BLOCK:
-                        yield block(ids, numbers, lines)
-                        ids, numbers, lines, size = [], [], [], 0
-    if lines:
-        yield block(ids, numbers, lines)
+    def run(batches):
+        ids, numbers, lines, size = [], [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for no, line in enumerate((text.as_py() or "").split("\n")):
+                    line = line.strip()
+                    if len(line) >= max(min_chars, 1):
+                        ids.append(key)
+                        numbers.append(no)
+                        lines.append(line)
+                        size += len(line)
+                        if size >= BLOCK:
+                            yield block(ids, numbers, lines)
+                            ids, numbers, lines, size = [], [], [], 0
+        if lines:
+            yield block(ids, numbers, lines)
+
+    return run
 
 
 def line_set(line: str) -> np.ndarray:
@@ -183,7 +193,7 @@ def _lines(batches):
                 lines = (text.as_py() or "").split("\n")
                 for r in role:
                     line = lines[r["line_no"]].strip() if r["line_no"] < len(lines) else ""
-                    if len(line) >= MIN_CHARS and line_id(line) == r["b"]:
+                    if len(line) >= SHINGLE and line_id(line) == r["b"]:
                         yield len(line), (r["a"], r["chunk"], r["first"], r["b"], line)
 
     yield from flushed(rows(), schema)
@@ -232,10 +242,10 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, num: int, den:
 
 
 @tidied("removals")
-def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, gone: the numbers (from 0) of the lines that go, for documents that lose any."""
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    signed = stored(known.mapInArrow(_signed, "doc_id long, line_no int, node long, s0 long, s1 long, keys array<long>"), "signed")
+    signed = stored(known.mapInArrow(_signed(min_chars), "doc_id long, line_no int, node long, s0 long, s1 long, keys array<long>"), "signed")
     shared = shared_keys(signed.select("node", F.explode("keys").alias("key")), distinct=False)
     places = stored(signed.select("node", "doc_id", "line_no"), "places")
     first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "s0", "s1")).alias("f"), F.count("*").alias("n"))
@@ -251,9 +261,9 @@ def removals(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+def dedup(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text lacking the lines that go, n_lines and n_kept."""
-    gone = removals(docs, num, den).withColumnRenamed("doc_id", "_id")
+    gone = removals(docs, num, den, min_chars).withColumnRenamed("doc_id", "_id")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     joined = docs.join(small_lists(gone, "gone", 8), F.col("doc_id") == F.col("_id"), "left")
@@ -263,4 +273,4 @@ def dedup(docs: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1).select("doc_id", "n_lines", "n_kept", "text")

@@ -14,6 +14,9 @@ from basalt.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: A character that line dedup does not strip.
+VISIBLE = r"(?U)[^\s\x1c-\x1f]"
+
 
 def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; the model learns from the labels of these documents."""
@@ -23,8 +26,8 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; a document that loses all its lines goes."""
-    kept = lines.dedup(docs.select(COLUMNS))
-    emptied = (F.col("n_kept") < F.col("n_lines")) & (F.trim("text") == "")
+    kept = lines.dedup(docs.select(COLUMNS), min_chars=1)
+    emptied = (F.col("n_kept") < F.col("n_lines")) & ~F.col("text").rlike(VISIBLE)
     kept = kept.filter(~F.coalesce(emptied, F.lit(False)))
     n_chars = F.when(F.col("n_kept") < F.col("n_lines"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(COLUMNS)

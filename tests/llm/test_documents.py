@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from basalt.llm import decontamination, jaccard, language_model, lines, media, mixing, tokencount, tokens, toxicity
 from basalt.llm.components import components
 
@@ -139,6 +140,35 @@ def test_line_dedup(spark, docs):
     assert lines.dedup(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_line_dedup_of_every_line(spark, docs):
+    """Brute force without a least length: lines without shingles link with their equals only."""
+    rows = docs + [(960, "ab\nHaanth.\nabc\n\nab"), (961, "ab\n \nHaanth.\nabd\n\tHaanth. \n"), (962, "short line 12\nabcde\naaaaaa"), (963, "short line 12\nabcdf\naaaaaaaa\nshort line 13")]
+    got = [(r.doc_id, r.text, r.n_lines, r.n_kept) for r in lines.dedup(frame(spark, rows), min_chars=1).collect()]
+    at, k = {}, lines.SHINGLE
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if i is not None and line.strip():
+                at.setdefault(line.strip(), set()).add((i, no))
+    sets = {x: {x[j : j + k] for j in range(len(x) - k + 1)} for x in at}
+    named = groups(sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+    first = {}
+    for x, places in at.items():
+        first[named[x]] = min(first.get(named[x], (1 << 60, 0)), min(places))
+    want = []
+    for i, t in rows:
+        parts = (t or "").split("\n")
+        kept = [x for no, x in enumerate(parts) if i is None or not x.strip() or first[named[x.strip()]] == (i, no)]
+        want.append((i, None if t is None else "\n".join(kept), len(parts) if t is not None else 0, len(kept) if t is not None else 0))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (960, "ab\nHaanth.\nabc\n", 5, 4) in got and (961, " \nabd\n", 6, 3) in got
+
+
+def test_line_dedup_empties_documents(spark):
+    line = "A line that is repeated in many documents, word for word."
+    kept = corpus_pipeline.dedup_lines(spark, frame(spark, [(1, line + "\nHaanth."), (2, "Haanth.\n\n" + line), (3, "\n"), (4, None)]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_band_recall():
     rng = random.Random(2)
     hit = total = 0
