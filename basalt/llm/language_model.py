@@ -242,7 +242,11 @@ def score(docs: DataFrame, model: DataFrame, limit: int = SMALL) -> DataFrame:
     """row, doc_id, lang, n_bytes, log_p of every document (doc_id, lang, text); lang is not null."""
     rows = docs.select(F.xxhash64("doc_id", "lang", "text").alias("row"), "doc_id", "lang", "text")
     if model.count() * 24 > limit:
-        return score_sharded(rows.distinct(), model)
+        counted = stored(rows.groupBy("row", "doc_id", "lang", "text").agg(F.count("*").cast("int").alias("copies")), "distinct")
+        copies = counted.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "copies")
+        same = (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
+        scored = score_sharded(counted.drop("copies"), model).join(copies, same)
+        return scored.select("row", "doc_id", "lang", "n_bytes", "log_p", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
     return rows.mapInArrow(scorer(sorted(model.inputFiles())), "row long, doc_id long, lang string, n_bytes long, log_p double")
 
 

@@ -327,3 +327,13 @@ def test_language_model(spark):
     model = language_model.train(docs.filter("doc_id BETWEEN 10 AND 100").select("lang", "text"))
     sums = model.filter("k = 2").groupBy("lang", F.shiftright("gram", 8).alias("c")).agg(F.sum(F.exp("logp")).alias("p")).collect()
     assert sums and all(r.p < 1.0001 for r in sums)  # what is missing is the back-off mass
+
+
+def test_language_model_repeated_rows(spark):
+    """Each input row has its row in the result, with a model in the workers and with a sharded one."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(20)), "en") for i in range(20)]
+    rows += [rows[3]] * 3 + [(None, "the ta", None)] * 2 + [(30, None, "en")] * 2
+    docs, trusted = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in range(15)], "doc_id long")
+    a, b = (sorted(((r.doc_id, r.lang, r.n_bytes, round(r.perplexity or 0, 2), r.keep) for r in language_model.quality(docs, trusted, limit).collect()), key=str) for limit in (language_model.SMALL, 0))
+    assert len(a) == len(rows) and a == b
