@@ -1,86 +1,77 @@
-"""Leaves of count-vector points, searched by the bound of summed minima.
+"""Count vectors: points, boxes and the join of two leaves by the bound of summed minima.
 
-A set's point counts its elements by hashed group.  |A and B| <= sum of min(a_g, b_g), for fine groups
-and for the coarse ones that sum FOLD of them.  A leaf holds the nodes that share a directory key; a large leaf
-is cut into blocks by hash and every two of its blocks meet in a task, so memory is bounded and only pairs
-that no bound rules out become rows.
+A set's point counts its elements by hashed group; |A and B| <= sum of min(a_g, b_g).  A box holds the largest
+count of each group over its points, and its smallest set's size; the same sum bounds the overlap of anything in it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Fine groups of a point, fine groups in a coarse one, nodes of a block on average, points compared at once.
-GROUPS, FOLD, BLOCK, STRIPE = 256, 4, 1024, 64
+#: Groups of a point, points of a node of the tree, pairs whose minima are taken in one array.
+GROUPS, NODE, FEW = 64, 64, 4096
 
+#: The largest count; groups that reach it rule nothing out.
+TOP = 65535
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    """Counts by the hashes' lowest bits; counts beyond 16 bits are held at the top, where they rule nothing out."""
-    return np.minimum(np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
-
-
-def search(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sizes: np.ndarray, points: np.ndarray, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller node, larger node) across roots that the bounds leave, of one block or between two."""
-    coarse = points.reshape(len(points), -1, FOLD).sum(2, dtype=np.int32)
-    order = np.argsort(sizes, kind="stable")
-    out_a, out_b = [], []
-    for at in range(0, len(order), STRIPE):
-        mine = order[at : at + STRIPE]
-        # Sorted by size, partners that are large enough to matter lie behind; the first too large ends them.
-        end = np.searchsorted(sizes[order], sizes[mine[-1]] * den // num, "right")
-        others = order[at:end]
-        i, j = np.meshgrid(np.arange(len(mine)), np.arange(len(others)), indexing="ij")
-        use = (i < j) & (roots[mine][:, None] != roots[others][None, :]) & (sizes[others][None, :] * num <= sizes[mine][:, None] * den)
-        if not same:
-            use &= sides[mine][:, None] != sides[others][None, :]
-        i, j = mine[i[use]], others[j[use]]
-        for groups in (coarse, points):
-            top = groups.max(initial=0) >= 65535
-            keep = np.ones(len(i), bool)
-            for part in range(0, len(i), 8192):
-                a, b = i[part : part + 8192], j[part : part + 8192]
-                most = np.minimum(groups[a], groups[b]).sum(1, dtype=np.int64)
-                keep[part : part + 8192] = top | (den * most >= num * (sizes[a] + sizes[b] - most))
-            i, j = i[keep], j[keep]
-        out_a.append(np.minimum(nodes[i], nodes[j]))
-        out_b.append(np.maximum(nodes[i], nodes[j]))
-    return np.concatenate(out_a), np.concatenate(out_b)
 
+def point(hashes: np.ndarray) -> np.ndarray:
+    """Counts by the hashes' lowest bits, at most TOP."""
+    return np.minimum(np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), TOP).astype(np.uint16)
 
-def _searched(num: int, den: int, search):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held: list[tuple] = []
-        now = None
-
-        def leaf():
-            nodes, roots, sides, sizes = (np.array([r[k] for r in held], np.int64) for k in range(4))
-            points = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), -1)
-            a, b = search(nodes, roots, sides, sizes, points, now[1] == now[2], num, den)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for key, low, high, node, root, side, size, data in zip(*columns):
-                if (key, low, high) != now:
-                    if len(held) > 1:
-                        yield leaf()
-                    held, now = [], (key, low, high)
-                held.append((node, root, side, size, data))
-        if len(held) > 1:
-            yield leaf()
+def bounded(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether points (or boxes) a and b can hold a pair at Jaccard num / den: summed minima against the sizes, which
+    are the smallest ones of boxes.  Sets whose counts reach TOP are never ruled out."""
+    if len(a) * len(b) <= FEW:
+        most = np.minimum(a[:, None], b[None, :]).sum(2, dtype=np.int64)
+    else:
+        most = np.zeros((len(a), len(b)), np.int64)
+        for g in range(a.shape[1]):
+            most += np.minimum(a[:, g, None], b[None, :, g])
+    full = (a.max(1) >= TOP)[:, None] | (b.max(1) >= TOP)[None, :]
+    return full | ((num + den) * most >= num * (size_a[:, None] + size_b[None, :]))
 
-    return run
 
+def tree(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bulk-loaded nodes of a leaf: (order of the points, starts of the nodes, corners, smallest sizes).
 
-def candidates(leaves: DataFrame, points: DataFrame, num: int, den: int, search=search) -> DataFrame:
-    """Distinct pairs (a, b) with a < b of leaves (key, node, root, n: nodes of the key) that search leaves as possible links."""
-    rows = leaves.join(points, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "root", "side", "size", "point")
-    dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(_searched(num, den, search), "a long, b long").distinct()
+    Points are sorted by size, then tiled by their two most varied coordinates."""
+    wide = np.argsort(-points.var(0))[:2] if len(points) else np.zeros(2, np.int64)
+    slab = max(1, int(np.ceil(np.sqrt(len(points) / NODE)))) * NODE
+    order = np.argsort(sizes, kind="stable")
+    rank = np.empty(len(points), np.int64)
+    rank[order] = np.arange(len(points)) // slab
+    order = np.lexsort((points[:, wide[1]], points[:, wide[0]], rank))
+    starts = np.arange(0, len(points), NODE)
+    return order, starts, np.maximum.reduceat(points[order], starts), np.minimum.reduceat(sizes[order], starts)
+
+
+def joined(points: np.ndarray, sizes: np.ndarray, n: int | None, num: int, den: int) -> np.ndarray:
+    """Which points have a partner that no bound rules out: the first n against the others, or (n is None) all against all."""
+    own = n is None
+    if len(points) <= NODE:  # a tree of one node, or of one on each side
+        a, b = (points, points) if own else (points[:n], points[n:])
+        near = bounded(a, sizes if own else sizes[:n], b, sizes if own else sizes[n:], num, den)
+        if own:
+            np.fill_diagonal(near, False)
+            return near.any(1)
+        return np.concatenate([near.any(1), near.any(0)])
+    halves = [np.arange(len(points))] if own else [np.arange(n), np.arange(n, len(points))]
+    left = np.zeros(len(points), bool)
+    trees = [tree(points[h], sizes[h]) for h in halves]
+    (order_a, starts_a, corner_a, least_a), (order_b, starts_b, corner_b, least_b) = trees[0], trees[-1]
+    a_all, b_all = halves[0][order_a], halves[-1][order_b]
+    meet = bounded(corner_a, least_a, corner_b, least_b, num, den)
+    for i, j in zip(*np.nonzero(np.triu(meet) if own else meet)):
+        a, b = a_all[starts_a[i] : starts_a[i] + NODE], b_all[starts_b[j] : starts_b[j] + NODE]
+        # Points against the other box, then against each other.
+        a = a[bounded(points[a], sizes[a], corner_b[j, None], least_b[j, None], num, den)[:, 0]]
+        b = b[bounded(points[b], sizes[b], corner_a[i, None], least_a[i, None], num, den)[:, 0]]
+        if len(a) and len(b):
+            near = bounded(points[a], sizes[a], points[b], sizes[b], num, den)
+            if own and i == j:
+                near &= a[:, None] != b[None, :]
+            left[a[near.any(1)]] = True
+            left[b[near.any(0)]] = True
+    return left

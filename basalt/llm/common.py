@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import threading
@@ -24,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Where that is unset a temporary folder is made and set on a local master; a cluster has no folder
+    that its executors share, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="basalt-")
             spark.sparkContext.setCheckpointDir(root)
         else:
@@ -52,20 +56,38 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     to collect its garbage; while it runs they stay, so lost executors cost no more than usual."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", codec).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     if getattr(_running, "made", None):
         _running.made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_lock, _writing = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession):
+    """CLEANUP is set while any write of the session runs; its former value comes back behind the last one."""
+    with _lock:
+        running, before = _writing.get(spark, (0, None))
+        if not running:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writing[spark] = running + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            running, before = _writing.pop(spark)
+            if running > 1:
+                _writing[spark] = running - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def _deleted(spark: SparkSession, root: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,28 +1,26 @@
-"""N-gram Jaccard join: count vectors, a directory of their subspaces, verified pairs.
+"""N-gram Jaccard join: a count-vector R-tree over a directory of subspaces, then exact verification.
 
 A document is the set of its distinct word n-grams.  Texts with equal sets are one node.  A node's
-n-grams are hashed into groups, and the counts of the groups are its point.  For sets A and B that link
+n-grams are hashed into GROUPS groups, and the counts of the groups are its point.  For sets A and B that link
 at Jaccard r, |A xor B| <= D = (1 - r) / r * min(|A|, |B|), and |A and B| <= sum of min(a_g, b_g) over
-the groups g of any grouping.
-
-Plain R-tree boxes do not prune such points: counts of unrelated texts differ little in every single
-coordinate, so boxes of more than a few points overlap everywhere and the search turns quadratic.
-The directory is therefore built from subspaces: the fine groups are dealt into D + 2 subspaces, and by the
-pigeonhole principle a linked pair has equal coordinates in at least two of them.  A directory
-entry is a subspace with one value (a box shrunk to a point), so lookup is an equi-join and complete:
-no link is lost, nothing is approximate.  Sizes are cut into classes such that linked sets lie in the
-same or in adjoining classes; D is the class's.  Inside an entry points are tested by the summed
-minima before sets are compared exactly.
-
-Entries are not expanded to all pairs.  First every node is compared with one centre, the smallest
-node of the entries it shares most; verified links are contracted to components.  Only entries whose nodes
-still lie in different components are searched further, as leaves of points (boxes.py), for pairs between the
-components.  Pairs are verified in chunks of one centre and at most CHUNK partners, so a hot centre is
-spread over many tasks.
+the groups g of any grouping; a box's corner of largest counts bounds all its points.
+
+Boxes over more than a few count vectors of unrelated texts overlap in every coordinate (README has figures of
+such a tree), so the upper levels of the tree are a directory of subspaces: fine groups are dealt into
+D + 2 subspaces, and by the pigeonhole principle a linked pair has equal coordinates in at least two of them.  A
+directory entry is a subspace with one value, a box shrunk to a point in these coordinates, so its lookup is an
+equality and loses no link.  Sizes are cut into classes such that linked sets lie in the same or in
+adjoining classes; D is the class's.
+
+Nodes of common entries are bulk-loaded into leaves (leaves.py).  Two leaves that meet are joined as
+R-trees are: box against box, point against box, point against point, each by the summed minima.  What no
+bound rules out is verified by its exact set, leaf by leaf; every link between different texts is found, counted
+for both ends, and closed to components.
 
 Defined results: null and empty texts have no n-grams and link with nothing; a text of fewer words
-has one n-gram; repeated documents and ids are linked through their texts; a null doc_id takes
-part by equality of sets only; an empty table gives no rows; other columns are ignored.
+has one n-gram; repeated documents and ids are linked through their texts; documents with a null doc_id take part
+like others, and a component is named by its smallest doc_id that is not null (null if it has none); an
+empty table gives no rows; other columns are ignored.  A node's id is 64 bits of the digest of its set.
 """
 
 from __future__ import annotations
@@ -36,12 +34,14 @@ from pyspark.sql import functions as F
 
 from . import boxes
 from .common import dropped, small, stored, table, tidied
-from .components import components, resolve, shared_keys
+from .components import components
+from .leaves import LINKED, dealt, gathered, linked, meetings
 from .media import flushed
-from .tokens import MULTIPLIER, SPACED, grams, mix, text_bytes, word_hashes
+from .packed import ENTERED, entered, parts_for, shared_keys
+from .tokens import MULTIPLIER, SPACED, grams, mix, slices, text_bytes, word_hashes
 
-#: Growth of size classes, partners of a centre and pairs of a cluster in one task.
-GROWTH, CHUNK, CLUSTER = 1.4, 256, 4096
+#: Growth of size classes.
+GROWTH = 1.4
 
 
 class Classes:
@@ -95,186 +95,118 @@ def gram_sets(column: pa.Array, n: int):
             yield np.zeros(0, np.uint64)
 
 
-def signature(found: np.ndarray) -> bytes:
-    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+def node_id(found: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def _points(n: int, num: int, den: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def _sized(n: int):
+    """(row, doc_id, text) -> row, doc_id, n_shingles, node (null without n-grams) and the node's point."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("point", pa.binary())])
 
     def run(batches):
-        classes = Classes(num, den)
-
-        def rows():
-            for batch in batches:
-                for key, found in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), n)):
-                    if len(found):
-                        keys = entries(found, classes).view(np.int64)
-                        yield 8 * len(keys) + 64, (key, len(found), signature(found), keys)
-                    else:
-                        yield 64, (key, 0, None, None)
-
-        yield from flushed(rows(), schema)
+        for batch in batches:
+            for part in slices(batch):
+                sizes, nodes, points = [], [], []
+                for found in gram_sets(part.column(2), n):
+                    sizes.append(len(found))
+                    nodes.append(node_id(found) if len(found) else None)
+                    points.append(boxes.point(found).tobytes() if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], schema=schema)
 
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    if num * max(len(a), len(b)) > den * min(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return den * both >= num * (len(a) + len(b) - both)
+def _entries(n: int, num: int, den: int):
+    """batch (text) -> nodes and their directory keys, for packed.entered."""
+    classes = Classes(num, den)
 
+    def found(batch):
+        for part in slices(batch):
+            nodes, keys, seen = [], [], set()
+            for x in gram_sets(part.column(0), n):
+                if len(x) and (node := node_id(x)) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    keys.append(entries(x, classes))
+            if nodes:
+                yield np.array(nodes, np.int64), np.cumsum([0, *map(len, keys)]), np.concatenate(keys), None
 
-def _sets(n: int):
-    """Rows (doc_id, sig, centre, chunk, first, text) -> their sets, where the text is the node's."""
-    schema = pa.schema([("a", pa.int64()), ("chunk", pa.int32()), ("first", pa.bool_()), ("b", pa.int64()), ("grams", pa.binary())])
-
-    def run(batches):
-        def rows():
-            for batch in batches:
-                ids, sigs, roles = (batch.column(i).to_pylist() for i in (0, 1, 2))
-                for key, sig, role, found in zip(ids, sigs, roles, gram_sets(batch.column(3), n)):
-                    if len(found) and signature(found) == sig:
-                        data = found.tobytes()
-                        for r in role:
-                            yield len(data), (r["a"], r["chunk"], r["first"], key, data)
-
-        yield from flushed(rows(), schema)
-
-    return run
+    return found
 
 
-def _pointed(n: int):
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("point", pa.binary())])
+def _sets(n: int):
+    """(node, copies, text) -> node, copies and the set, where the text is the node's."""
+    schema = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
         def rows():
             for batch in batches:
-                for key, sig, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), gram_sets(batch.column(2), n)):
-                    if len(found) and signature(found) == sig:
-                        yield 2 * boxes.GROUPS, (key, len(found), boxes.point(found).tobytes())
+                for part in slices(batch):
+                    for node, copies, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), gram_sets(part.column(2), n)):
+                        if len(found) and node_id(found) == node:
+                            yield 8 * len(found), (node, copies, found.tobytes())
 
         yield from flushed(rows(), schema)
 
     return run
 
 
-def points_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, size and point of the wanted nodes, stored; a node's repeated rows give one."""
-    ids = stored(nodes.join(wanted, "node").select("node", "sig"), "wanted")
-    texts = docs.select("doc_id", "text").join(small(ids, 48), F.col("doc_id") == F.col("node")).select("doc_id", "sig", "text")
-    return stored(texts.mapInArrow(_pointed(n), "node long, size long, point binary").dropDuplicates(["node"]), "points")
-
-
-def _verified(num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held, centre, point = None, None, None
-        for batch in batches:
-            out = []
-            for a, chunk, first, b, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                found = np.frombuffer(data.as_buffer(), np.uint64)
-                if first:
-                    held, centre = (a, chunk), np.array(found)
-                    point = boxes.point(centre)
-                elif held == (a, chunk):
-                    most = int(np.minimum(point, boxes.point(found)).sum())
-                    if (point.max() == 65535 or den * most >= num * (len(centre) + len(found) - most)) and linked(centre, found, num, den):
-                        out.append((a, b))
-            out = list(dict.fromkeys(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
-
-    return run
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link, stored."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    role = lambda a, chunk, first: F.struct(F.col("a").alias("a"), chunk.alias("chunk"), F.lit(first).alias("first"))
-    partners = dealt.select(F.col("b").alias("node"), role("a", F.col("chunk"), False).alias("role"))
-    centres = size.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "a").select("node", role("a", F.col("chunk"), True).alias("role"))
-    roles = stored(partners.unionByName(centres).join(nodes.select("node", "sig"), "node"), "roles")
-    texts = docs.select("doc_id", "text").join(small(roles, 64), F.col("doc_id") == F.col("node")).select("doc_id", "sig", F.array("role").alias("role"), "text")
-    sets = texts.mapInArrow(_sets(n), "a long, chunk int, first boolean, b long, grams binary")
-    # Pseudo-random chunk keys: a hot centre's partners are many chunks.
-    dealt = sets.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
-    return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
-
-
-def _clustered(num: int, den: int):
-    """Sorted rows of a cluster (its sets, then its pairs) -> the pairs that join what is not yet joined."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _possible(num: int, den: int):
+    """Dealt rows (la, lb, side, node, size, point) -> la, lb, side, node of the nodes that the bounds leave a possible partner."""
+    schema = pa.schema([("la", pa.int64()), ("lb", pa.int64()), ("side", pa.bool_()), ("node", pa.int64())])
 
     def run(batches):
-        now, sets, up = None, {}, {}
-
-        def top(x):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        for batch in batches:
-            out = []
-            for cluster, is_pair, a, b, data in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                if cluster != now:
-                    now, sets, up = cluster, {}, {}
-                if not is_pair:
-                    sets[a], up[a] = np.frombuffer(data.as_buffer().to_pybytes(), np.uint64), a
-                elif (x := top(a)) != (y := top(b)) and linked(sets[a], sets[b], num, den):
-                    up[y] = x
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
+        for la, lb, (sides, nodes, sizes, points) in meetings(batches, 4):
+            n = sides.count(False)
+            if la != lb and n in (0, len(sides)):
+                continue
+            points = np.frombuffer(b"".join(points), np.uint16).reshape(len(nodes), -1)
+            left = boxes.joined(points, np.array(sizes, np.int64), None if la == lb else n, num, den)
+            at = np.flatnonzero(left)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([la] * len(at), pa.int64()), pa.array([lb] * len(at), pa.int64()), pa.array([sides[i] for i in at]), pa.array([nodes[i] for i in at], pa.int64())], schema=schema)
 
     return run
 
 
-def verified_clusters(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links among pairs, enough of them to connect what they connect.
-
-    Pairs are gathered by the connected clusters that they form, so a set travels once, not once for each
-    pair.  Clusters of more than CLUSTER pairs are verified around centres instead.
-    """
-    roots = components(pairs)
-    named = pairs.join(roots.withColumnRenamed("node", "_n"), F.col("a") == F.col("_n"), "left").select(F.coalesce("root", "a").alias("cluster"), "a", "b")
-    named = stored(named, "clusters")
-    sizes = stored(named.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes")
-    large = stored(named.join(sizes.filter(F.col("n") > CLUSTER), "cluster").select("a", "b"), "large-clusters")
-    few = named.join(sizes.filter(F.col("n") <= CLUSTER).select("cluster"), "cluster", "left_semi")
-    ends = few.select("cluster", F.col("a").alias("node")).union(few.select("cluster", F.col("b").alias("node"))).distinct()
-    roles = stored(ends.join(nodes, "node").select("node", "sig", F.array(F.struct(F.col("cluster").alias("a"), F.lit(0).alias("chunk"), F.lit(True).alias("first"))).alias("role")), "roles")
-    texts = docs.select("doc_id", "text").join(small(roles, 64), F.col("doc_id") == F.col("node")).select("doc_id", "sig", "role", "text")
-    sets = texts.mapInArrow(_sets(n), "a long, chunk int, first boolean, b long, grams binary")
-    rows = sets.select(F.col("a").alias("cluster"), F.lit(False).alias("is_pair"), F.col("b").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = rows.unionByName(few.select("cluster", F.lit(True).alias("is_pair"), "a", "b", F.lit(None).cast("binary").alias("grams")))
-    links = rows.repartition("cluster").sortWithinPartitions("cluster", "is_pair").mapInArrow(_clustered(num, den), "a long, b long")
-    if not large.isEmpty():
-        links = links.unionByName(verified(docs, nodes, large, n, num, den))
-    return stored(links, "links")
+def _decoded(data: list[bytes]):
+    return (np.frombuffer(x, np.uint64) for x in data)
 
 
 @tidied("groups")
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; documents link at Jaccard >= num / den."""
-    points = stored(docs.select("doc_id", "text").mapInArrow(_points(n, num, den), "doc_id long, n_shingles long, sig binary, keys array<long>"), "points")
-    sized = stored(points.select("doc_id", "n_shingles", "sig"), "sizes")
-    full = sized.filter("n_shingles > 0")
-    nodes = stored(full.filter("doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node")), "nodes")
-    # One row of points for each node: equal sets have equal keys, any copy's row will do (a repeated one only repeats).
-    own = points.filter("n_shingles > 0").join(small(nodes.withColumnRenamed("node", "doc_id"), 32), ["sig", "doc_id"])
-    shared = shared_keys(own.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")))
-    dropped(points)
-    verify = lambda pairs, many: (verified_clusters if many else verified)(docs, nodes, pairs, n, num, den)
-    labels = resolve(shared, verify, lambda wanted: points_of(docs, nodes, wanted, n), num, den)
-    named = nodes.join(labels, "node", "left").select("sig", F.coalesce("root", "node").alias("component_id"))
-    empty = sized.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "n_shingles", "sig").join(named, "sig", "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    """doc_id, n_shingles, component_id, n_links (documents that it links with, copies included), row (xxhash64 of doc_id
+    and text) and root (the same for the documents of a component; null where there is no link) of every document.
+
+    Documents link at Jaccard >= num / den."""
+    # The hash of id and text stands for a text where texts are read again; what is read is checked by its node.
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    sized = stored(docs.mapInArrow(_sized(n), "row long, doc_id long, n_shingles long, node long, point binary"), "sizes")
+    counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"))
+    nodes = stored(counted, "nodes")
+    directory = nodes.agg(F.sum(2 * (den - num) * F.col("size") / num + 4)).first()[0] or 0
+    parts = parts_for(int(directory), False)
+    entries_ = docs.select("text").mapInArrow(entered(parts, _entries(n, num, den)), ENTERED)
+    shared = stored(shared_keys(entries_, parts), "shared-keys")
+    members, meet = gathered(shared, nodes.select("node", (8 * F.col("size")).alias("bytes")))
+    points = members.join(nodes, "node").select("node", "leaf", "size", "point")
+    possible = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(num, den), "la long, lb long, side boolean, node long"), "possible")
+    dropped(shared)
+    wanted = stored(possible.select("node").distinct().join(nodes, "node").select("node", "copies", F.col("row").alias("_row")), "wanted")
+    texts = docs.join(small(wanted, 32), F.col("row") == F.col("_row")).select("node", "copies", "text")
+    # Repeated rows of one id and text give a set several times.
+    sets = stored(texts.mapInArrow(_sets(n), "node long, copies long, grams binary"), "sets").dropDuplicates(["node"])
+    links = stored(dealt(possible.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
+    labels = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    partners = links.filter("other IS NULL").groupBy("node").agg(F.sum("weight").alias("partners"))
+    rooted = nodes.select("node", "low", "copies").join(partners, "node", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted.select("node", "low", "root", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links")).filter("n_links > 0"), "rooted")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id", "n_links")
+    named = stored(named, "named").withColumnsRenamed({"node": "_node", "component_id": "_component", "n_links": "_links"})
+    component = F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
+    return sized.join(small(named, 32), F.col("node") == F.col("_node"), "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce("_links", F.lit(0)).alias("n_links"), "row", "root")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles, Jaccard of at least 0.9."""
-    docs = table(spark, sf_dir, "documents")
-    lowered = docs.select("doc_id", "text")  # the hashing lower-cases A-Z
-    return jaccard_components(lowered, 3, 9, 10)
+    """Three-word shingles (the hashing lower-cases A-Z), Jaccard of at least 0.9."""
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 9, 10).drop("row", "root")

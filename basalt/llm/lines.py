@@ -4,15 +4,15 @@ A line (stripped, of min_chars characters at least) is the set of its 5-characte
 characters than that has no shingles and is grouped with its equals only.  Equal
 lines are one node.  The query and the pipeline take every non-empty line (min_chars = 1).  ROWS * BANDS permutations of the shingle hashes give a signature, its BANDS
 band keys give the candidates: at similarity 0.8 a pair shares a key with probability 0.996, at 0.9
-with 0.999996.  Two bits of each of the first SKETCH minima are a node's sketch; candidates whose sketches differ in
-five standard deviations more places than pairs at the threshold do on average are let go (of pairs at 0.8
-about 1 in 100,000).  The other candidates are verified by the exact Jaccard similarity of their shingle sets, links
-are closed to components by distributed union-find, and of each component one line stays: the one
-that comes first by (doc_id, line number).
+with 0.999996.  One bit of each of the first SKETCH minima is a node's sketch; a node of a small key
+whose sketch differs from all others there in five standard deviations more places than those of pairs at the threshold
+do on average is let go (of pairs at 0.8 about 1 in 100,000).
 
-Keys that several lines share are found by a map-side combined aggregation; candidates of a key are compared
-with one centre in chunks, then across components (see components.py), never all pairs.  Line texts are read
-again from the documents, for nodes with candidates only.
+Keys travel packed (packed.py), the nodes that share some are gathered in leaves (leaves.py), and every two nodes of leaves that
+meet are verified by the exact Jaccard similarity of their shingle sets.  Links
+are closed to components by distributed union-find, and of each component one line stays: the one
+that comes first by (doc_id, line number).  Line texts are read again from the documents, once, for nodes with
+candidates only.
 
 Defined results: a null text has no lines and stays null; empty lines, and those under min_chars, always stay; a document
 with a null doc_id stays as it is and takes no part; rows sharing a doc_id are decided alike, so a repeated
@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boxes
 from .common import dropped, small, small_lists, stored, table, tidied
-from .components import resolve, shared_keys
+from .components import components
+from .leaves import LINKED, dealt, gathered, linked
 from .media import flushed
+from .packed import ENTERED, entered, parts_for, shared_keys
 from .tokens import MULTIPLIER, mix
 
 SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
 #: What dedup takes as min_chars if nothing is given.
 MIN_CHARS = 20
-CHUNK = 256
 
 #: Characters of texts that are hashed at once.
 BLOCK = 1 << 17
@@ -81,90 +81,70 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The band keys of each line, and its sketch: two words that hold one bit of each minimum."""
+    """The band keys of each line of SHINGLE characters at least, and its sketch: one bit of each of SKETCH minima."""
     wide, starts, sizes = wide_shingles(lines)
     x = (wide >> np.uint64(32)).astype(np.uint32)
     cuts = np.empty(2 * len(lines), np.int64)
     cuts[::2], cuts[1::2] = starts, starts + sizes
-    keys, sketch = np.zeros((len(lines), BANDS), np.uint64), np.zeros((len(lines), 2), np.uint64)
+    keys, sketch = np.zeros((len(lines), BANDS), np.uint64), np.zeros(len(lines), np.uint64)
     y = np.empty_like(x)
     for i in range(ROWS * BANDS):
         np.multiply(x, FACTORS[i], out=y)
         low = np.minimum.reduceat(y, cuts)[::2]
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * MULTIPLIER + low + np.uint64(i + 1))
         if i < SKETCH:
-            bits = (low * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(30)).astype(np.uint64)
-            sketch[:, 0] |= (bits & np.uint64(1)) << np.uint64(i)
-            sketch[:, 1] |= (bits >> np.uint64(1)) << np.uint64(i)
-    return keys.view(np.int64), sketch.view(np.int64)
+            sketch |= (low * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i)
+    return keys.view(np.int64), sketch
 
 
 def most_places(num: int, den: int) -> int:
     """Places of SKETCH in which the sketches of a pair worth verifying differ."""
-    p = (den - num) / den * 0.75
+    p = (den - num) / den * 0.5
     return int(SKETCH * p + 5 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def search(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sizes: np.ndarray, points: np.ndarray, same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller node, larger node) across roots with near sketches, of one block or between two."""
-    sketch, most = points.view(np.uint64), most_places(num, den)
-    out_a, out_b = [], []
-    for at in range(0, len(nodes), boxes.STRIPE):
-        x = sketch[at : at + boxes.STRIPE, None] ^ sketch[None, at:]
-        near = np.bitwise_count(x[:, :, 0] | x[:, :, 1]) <= most
-        i, j = np.nonzero(near)
-        use = i < j
-        i, j = i[use] + at, j[use] + at
-        use = roots[i] != roots[j]
-        if not same:
-            use &= sides[i] != sides[j]
-        out_a.append(np.minimum(nodes[i[use]], nodes[j[use]]))
-        out_b.append(np.maximum(nodes[i[use]], nodes[j[use]]))
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def near_sketches(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of pairs (a, b, ...) whose sketches are near."""
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("s0").alias(f"{end}0"), F.col("s1").alias(f"{end}1")), end)
-    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0")).bitwiseOR(F.col("a1").bitwiseXOR(F.col("b1"))))
-    return pairs.filter(apart <= most_places(num, den)).drop("a0", "a1", "b0", "b1")
-
-
-def _signed(min_chars: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def block(ids, numbers, lines):
-        """Lines without shingles have no keys, so nothing but their equals is compared with them."""
-        full = np.array([len(x) >= SHINGLE for x in lines])
-        keys, sketch = np.zeros((0, BANDS), np.int64), np.zeros((len(lines), 2), np.int64)
-        if full.any():
-            keys, sketch[full] = signatures([x for x in lines if len(x) >= SHINGLE])
-        ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), keys], schema=schema)
+def blocks(column: pa.Array, min_chars: int):
+    """Lists of (text number, line number, stripped line) of the lines that take part, of about BLOCK characters."""
+    out, size = [], 0
+    for i, text in enumerate(column):
+        for no, line in enumerate((text.as_py() or "").split("\n")):
+            line = line.strip()
+            if len(line) >= max(min_chars, 1):
+                out.append((i, no, line))
+                size += len(line)
+                if size >= BLOCK:
+                    yield out
+                    out, size = [], 0
+    if out:
+        yield out
+
+
+def _placed(min_chars: int):
+    """(doc_id, text) -> doc_id, line_no, node and characters of each line."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
-        ids, numbers, lines, size = [], [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for no, line in enumerate((text.as_py() or "").split("\n")):
-                    line = line.strip()
-                    if len(line) >= max(min_chars, 1):
-                        ids.append(key)
-                        numbers.append(no)
-                        lines.append(line)
-                        size += len(line)
-                        if size >= BLOCK:
-                            yield block(ids, numbers, lines)
-                            ids, numbers, lines, size = [], [], [], 0
-        if lines:
-            yield block(ids, numbers, lines)
+            ids = batch.column(0)
+            for rows in blocks(batch.column(1), min_chars):
+                text, numbers, lines = zip(*rows)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64()), pa.array(map(len, lines), pa.int32())], schema=schema)
 
     return run
 
 
+def _entries(min_chars: int):
+    """batch (text) -> nodes, band keys and sketches of the lines with shingles, for packed.entered."""
+
+    def found(batch):
+        for rows in blocks(batch.column(0), max(min_chars, SHINGLE)):
+            lines = list(dict.fromkeys(line for _, _, line in rows))
+            keys, sketch = signatures(lines)
+            yield np.fromiter(map(line_id, lines), np.int64, len(lines)), np.arange(len(lines) + 1) * BANDS, keys.ravel(), sketch
+
+    return found
+
+
 def line_set(line: str) -> np.ndarray:
     return np.unique(shingles(code_points(line))[: len(line) - SHINGLE + 1])
 
@@ -184,78 +164,43 @@ def line_sets(lines: list[str]):
 
 
 def _lines(batches):
-    """Rows (roles, text) -> the lines that the roles name."""
-    schema = pa.schema([("a", pa.int64()), ("chunk", pa.int32()), ("first", pa.bool_()), ("b", pa.int64()), ("line", pa.string())])
+    """Rows (wanted: line_no and node of lines, text) -> node, line."""
+    schema = pa.schema([("node", pa.int64()), ("line", pa.string())])
 
     def rows():
         for batch in batches:
-            for role, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 lines = (text.as_py() or "").split("\n")
-                for r in role:
-                    line = lines[r["line_no"]].strip() if r["line_no"] < len(lines) else ""
-                    if len(line) >= SHINGLE and line_id(line) == r["b"]:
-                        yield len(line), (r["a"], r["chunk"], r["first"], r["b"], line)
+                for w in wanted:
+                    line = lines[w["line_no"]].strip() if w["line_no"] < len(lines) else ""
+                    if line_id(line) == w["node"]:
+                        yield len(line), (w["node"], line)
 
     yield from flushed(rows(), schema)
 
 
-def points_of(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, size (none needed) and point of the wanted nodes: their sketches."""
-    words = F.concat(*(F.unhex(F.lpad(F.hex(s), 16, "0")) for s in ("s0", "s1")))
-    return nodes.join(wanted, "node").select("node", F.lit(0).cast("long").alias("size"), words.alias("point"))
-
-
-def _verified(num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        held, centre = None, None
-        for batch in batches:
-            out = {}
-            rows = (batch.column(i).to_pylist() for i in range(4))
-            for a, chunk, first, b, found in zip(*rows, line_sets(batch.column(4).to_pylist())):
-                if first:
-                    held, centre = (a, chunk), found
-                elif held == (a, chunk):
-                    if den * min(len(found), len(centre)) >= num * max(len(found), len(centre)):
-                        at = np.searchsorted(centre, found)
-                        both = int((centre[np.minimum(at, len(centre) - 1)] == found).sum())
-                        if den * both >= num * (len(centre) + len(found) - both):
-                            out[a, b] = True
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=schema)
-
-    return run
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of line nodes whose shingle sets link, stored."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    partners = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("first"), "b")
-    centres = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("first"), F.col("a").alias("b"))
-    placed = partners.unionByName(centres).join(nodes.select(F.col("node").alias("b"), "doc_id", "line_no"), "b")
-    # A document's roles: its own lines, each for a centre and its chunks.
-    roles = stored(placed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "a", "chunk", "first", "b")).alias("roles")), "roles")
-    texts = docs.select("doc_id", "text").join(small_lists(roles, "roles", 64), "doc_id").select("roles", "text")
-    lines = texts.mapInArrow(_lines, "a long, chunk int, first boolean, b long, line string")
-    dealt = lines.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.desc("first"))
-    return stored(dealt.mapInArrow(_verified(num, den), "a long, b long"), "links")
-
-
 @tidied("removals")
 def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, gone: the numbers (from 0) of the lines that go, for documents that lose any."""
     known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    signed = stored(known.mapInArrow(_signed(min_chars), "doc_id long, line_no int, node long, s0 long, s1 long, keys array<long>"), "signed")
-    shared = shared_keys(signed.select("node", F.explode("keys").alias("key")), distinct=False)
-    places = stored(signed.select("node", "doc_id", "line_no"), "places")
-    first = signed.groupBy("node").agg(F.min(F.struct("doc_id", "line_no", "s0", "s1")).alias("f"), F.count("*").alias("n"))
-    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "f.s0", "f.s1", "n"), "line-nodes")
-    dropped(signed)
-    likely = lambda pairs: near_sketches(pairs, nodes, num, den)
-    labels = resolve(shared, lambda pairs, _: verified(known, nodes, pairs, num, den), lambda wanted: points_of(nodes, wanted), num, den, likely, search)
-    rooted = stored(nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    places = stored(known.mapInArrow(_placed(min_chars), "doc_id long, line_no int, node long, n int"), "places")
+    parts = parts_for(places.filter(F.col("n") >= SHINGLE).count() * BANDS, True)
+    entries = known.select("text").mapInArrow(entered(parts, _entries(min_chars)), ENTERED)
+    shared = stored(shared_keys(entries, parts, most_places(num, den)), "shared-keys")
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "copies", "n"), "line-nodes")
+    members, meet = gathered(shared, nodes.select("node", (8 * F.col("n")).alias("bytes")))
+    wanted = members.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
+    # A document's list holds lines of its own only; repeated rows of one id give a line several times.
+    texts = known.join(stored(wanted, "wanted").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("wanted", "text")
+    lines = stored(texts.mapInArrow(_lines, "node long, line string"), "lines").dropDuplicates(["node"])
+    dropped(shared)
+    rows = members.join(lines, "node").join(meet, "leaf").select("la", "lb", "side", "node", F.lit(1).cast("long").alias("copies"), "line")
+    links = stored(dealt(rows).mapInArrow(linked(line_sets, num, den), LINKED).filter("other IS NOT NULL"), "links")
+    labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "copies", F.coalesce("root", "node").alias("root"))
     # Components of one line that occurs once decide nothing.
-    keepers = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.sum("n").alias("n")).filter("n > 1")
+    keepers = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     decided = stored(rooted.join(keepers.select("root", "keep"), "root").select("node", "keep"), "decided")
     lost = places.join(small(decided, 48), "node").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
     return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
@@ -265,7 +210,8 @@ def dedup(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHA
     """docs with text lacking the lines that go, n_lines and n_kept."""
     gone = removals(docs, num, den, min_chars).withColumnRenamed("doc_id", "_id")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     joined = docs.join(small_lists(gone, "gone", 8), F.col("doc_id") == F.col("_id"), "left")
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)

@@ -13,6 +13,9 @@ import pyarrow as pa
 #: Bytes of a block.
 BLOCK = 1 << 20
 
+#: Bytes of the texts that operators hash at once.
+SLICE = 1 << 20
+
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +68,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch):
+    """Parts of a batch with about SLICE bytes of text (its last column) each."""
+    start, size = 0, 0
+    column = batch.column(batch.num_columns - 1)
+    for i, n in enumerate(np.diff(text_bytes(column)[1]).tolist()):
+        size += n
+        if size >= SLICE:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and n + 1 places where each text's words begin."""
     hashes, places, at = [], [], 0
