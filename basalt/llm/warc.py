@@ -6,8 +6,9 @@ rows (URL, digest, archive, offset, length) of what they wrote; the index holds
 that counted, and files of lost attempts are never read.  Reading sorts the selected index rows by
 archive and offset, merges near ranges and reads each merged range once.
 
-Which records are revisits comes from a pre-aggregated table of payloads that occur more than once,
-joined in a way that Spark may split or broadcast; pages are not shuffled for writing.
+Which records are revisits comes from a pre-aggregated table of payloads that occur more than once.  While that
+table's counted rows are few it is broadcast and pages are written where they are read; a larger one is joined by
+digest, which shuffles the pages (Spark may split a hot payload).
 
 Defined results: a null html is an empty payload; a null url has no WARC-Target-URI; control
 characters of a url are percent-encoded in the header (the index keeps the url itself); a null
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import scratch, small, stored, table
 
 CRLF = "\r\n"
 
-#: Bytes of an archive, bytes that one task's key covers, longest merged read, largest gap read over; gzip level.
-ARCHIVE, BLOCK, READ, GAP, LEVEL = 64 << 20, 4 << 20, 4 << 20, 64 << 10, 5
+#: Bytes of an archive, bytes that one task's key covers, bytes that a task reads, longest merged read, largest gap read over; gzip level.
+ARCHIVE, BLOCK, TASK, READ, GAP, LEVEL = 64 << 20, 4 << 20, 16 << 20, 4 << 20, 64 << 10, 5
 
 #: Digits of Spark's conv and of RFC 4648 (fixed values).
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -66,12 +67,12 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, record_type, refers_to.
 
     Payloads that occur once never meet a join partner; the others' smallest ids come from a
-    pre-aggregated table, and the join with it is one that Spark may split or broadcast.
+    pre-aggregated table, broadcast or joined by its counted size.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
     twice = base.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("first_id").isNotNull() & (F.col("payload_bytes") >= least)).drop("n")
-    joined = base.join(twice, ["payload_digest", "payload_bytes"], "left")
+    joined = base.join(small(stored(twice, "payloads"), 96), ["payload_digest", "payload_bytes"], "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, F.lit("revisit")).otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
@@ -115,14 +116,14 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "200
     return stored(index, "warc-index")
 
 
-def parse(record: memoryview) -> tuple[dict[str, str], memoryview]:
-    """Header fields (names in lower case) and block of one record."""
-    end = bytes(record[:65536]).find(b"\r\n\r\n")
-    lines = bytes(record[: end if end >= 0 else len(record)]).decode().split(CRLF)
+def parse(record: bytes) -> tuple[dict[str, str], memoryview]:
+    """Header fields (names in lower case) and block of one record; the header is as long as it is."""
+    end = record.find(b"\r\n\r\n")
+    lines = record[: end if end >= 0 else len(record)].decode().split(CRLF)
     if end < 0 or not lines[0].startswith("WARC/1."):
         raise ValueError(f"no record header: {lines[0][:40]!r}")
     fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    block = record[end + 4 :]
+    block = memoryview(record)[end + 4 :]
     if len(block) != int(fields["content-length"]) + 4:
         raise ValueError(f"record of {fields['content-length']} bytes has {len(block) - 4}")
     return fields, block[:-4]
@@ -135,12 +136,12 @@ def _read(batches):
     opened, source = None, None
 
     def row(member: memoryview) -> tuple:
-        fields, block = parse(memoryview(zlib.decompress(member, 31)))
+        fields, block = parse(zlib.decompress(member, 31))
         number = lambda x: None if x is None or x == "<urn:page:None>" else int(x[len("<urn:page:") : -1])
         if fields["warc-type"] == "revisit":
             size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
         else:
-            at = bytes(block[:4096]).find(b"\r\n\r\n") + 4
+            at = bytes(block).find(b"\r\n\r\n") + 4
             size, digest = len(block) - at, base64.b32encode(hashlib.sha1(block[at:]).digest()).decode()
             if "sha1:" + digest != fields["warc-payload-digest"]:
                 raise ValueError(f"payload of {fields['warc-record-id']} is not what was written")
@@ -165,8 +166,12 @@ def _read(batches):
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Read the selected index rows' records: ranges sorted by archive and offset, merged where near."""
-    ranges = index.select("path", "offset", "length").repartition("path", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("path", "offset")
+    """Read the selected index rows' records: ranges sorted by archive and offset, merged where near.
+
+    The number of tasks comes from the bytes to read (index rows are tiny, so Spark itself would take one)."""
+    tasks = int((index.agg(F.sum("length")).first()[0] or 0) // TASK) + 1
+    tasks = max(tasks, index.sparkSession.sparkContext.defaultParallelism)
+    ranges = index.select("path", "offset", "length").repartition(tasks, "path", F.floor(F.col("offset") / BLOCK)).sortWithinPartitions("path", "offset")
     return ranges.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
