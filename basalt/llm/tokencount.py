@@ -19,6 +19,7 @@ empty file has no documents; repeated rows are documents of their own; other col
 from __future__ import annotations
 
 import base64
+import os
 import uuid
 
 import numpy as np
@@ -38,16 +39,17 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How that vocabulary cuts text before merging (fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Bytes of a token file, bytes of a block of the scan.
-FILE, BLOCK = 128 << 20, 2 << 20
+#: Bytes of a token file, bytes of a block of the scan, bytes that a task scans.
+FILE, BLOCK, TASK = 128 << 20, 2 << 20, 32 << 20
 
 
 def writer(path: str, vocabulary: str):
     def write(batches):
         import tiktoken
         from pyarrow import fs
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("ordinal", pa.int64())])
@@ -79,11 +81,16 @@ def writer(path: str, vocabulary: str):
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Write token files below path; doc_id, path and ordinal of every document, stored."""
-    return stored(docs.select("doc_id", "text").mapInArrow(writer(path, vocabulary), "doc_id long, path string, ordinal long"), "token-documents")
+    """Write token files below path; doc_id, path and ordinal of every document, stored.
 
+    vocabulary: a path on the driver; Spark ships the file to the executors."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    return stored(docs.select("doc_id", "text").mapInArrow(writer(path, os.path.basename(vocabulary)), "doc_id long, path string, ordinal long"), "token-documents")
+
+
+def scanner(separator: int, size: int):
+    """A function for mapInArrow; size: bytes of a block (an even number)."""
 
-def scanner(separator: int):
     def scan(batches):
         from pyarrow import fs
 
@@ -97,8 +104,8 @@ def scanner(separator: int):
                     if path != opened:
                         store, place = fs.FileSystem.from_uri(path)
                         source, opened = store.open_input_file(place), path
-                    at = block * BLOCK
-                    data = np.frombuffer(source.read_at(min(BLOCK, length - at), at), "<u2")
+                    at = block * size
+                    data = np.frombuffer(source.read_at(min(size, length - at), at), "<u2")
                     ends = np.flatnonzero(data == separator)
                     lengths = np.diff(ends, prepend=-1) - 1
                     yield 8 * len(lengths) + 64, (path, block, lengths, len(data) - (int(ends[-1]) + 1 if len(ends) else 0))
@@ -111,7 +118,10 @@ def scanner(separator: int):
 def scan_files(files: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """path, ordinal, n_tokens, closed of every document in files (path, length in bytes)."""
     blocks = files.filter("length > 1").select("path", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / BLOCK))).alias("block"), "length")
-    found = stored(blocks.repartition("path", "block").mapInArrow(scanner(separator), "path string, block long, lengths array<long>, tail long"), "token-blocks")
+    # Rows of blocks are tiny: the bytes to read give the number of tasks.
+    tasks = int((files.agg(F.sum("length")).first()[0] or 0) // TASK) + 1
+    tasks = max(tasks, files.sparkSession.sparkContext.defaultParallelism)
+    found = stored(blocks.repartition(tasks, "path", "block").mapInArrow(scanner(separator, BLOCK), "path string, block long, lengths array<long>, tail long"), "token-blocks")
     order = Window.partitionBy("path").orderBy("block")
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     # One narrow row for each block goes through the scan; the lengths join their offsets afterwards.
