@@ -11,11 +11,13 @@ weights of the longer contexts.  Where the model's counted rows are few (SMALL),
 the shared folder; a larger model is joined, sharded, with the documents' distinct n-grams instead.  Both ways give
 the same perplexities (tests compare them).
 
-A document is kept if its perplexity is at most MARGIN times the QUANTILE of the perplexities of trusted documents of
-its language that were held out of training (every FOLDS-th by hash of the id).
+A document is kept if its perplexity is at most its language's threshold: the QUANTILE of the perplexities of trusted
+documents of the language that were held out of training (every FOLDS-th by hash of the id).  A language with fewer than
+FEW such documents has no tail of its own: its threshold is its median times the same quantile of all held-out
+documents' perplexities over their languages' medians.
 
 Defined results: null and empty texts have no perplexity and are kept; a null language is a language
-of its own; a language without held-out trusted text takes the threshold of all languages, and without any
+of its own; a language without held-out trusted text takes the quantile over all languages, and without any
 trusted text at all every document is kept; null labels are not trusted; repeated rows are scored
 alike; an empty table gives no rows; other columns are ignored; texts are scored whole.
 """
@@ -29,26 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import SMALL, small, stored, table
 from .media import flushed
-from .tokens import mix, text_bytes
+from .tokens import mix, slices, text_bytes
 
 ORDER = 5
-#: The threshold is MARGIN times the quantile: held-out text of a small language is few documents.
-QUANTILE, MARGIN, FOLDS = 0.995, 1.5, 5
-
-#: Bytes of text handled at once.
-BLOCK = 1 << 20
-
-
-def slices(batch: pa.RecordBatch):
-    """Parts of a batch with about BLOCK bytes of text (its last column) each."""
-    start, size = 0, 0
-    for i, text in enumerate(batch.column(batch.num_columns - 1)):
-        size += len(text.as_buffer()) if text.is_valid else 0
-        if size >= BLOCK:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+#: FEW documents leave one above the quantile on average.
+QUANTILE, FEW, FOLDS = 0.995, 200, 5
 
 
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +108,9 @@ class Lookup:
     """Open-addressing table of (lang, k, gram) in arrays, for vectorised lookups."""
 
     def __init__(self, lang: np.ndarray, k: np.ndarray, gram: np.ndarray, logp: np.ndarray, backoff: np.ndarray):
-        self.bits = max(4, int(4 * len(gram)).bit_length())
+        self.bits = max(4, int(1.5 * len(gram)).bit_length())
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max)
-        self.logp, self.backoff = np.zeros(1 << self.bits, np.float32), np.full(1 << self.bits, np.nan, np.float32)
+        self.logp, self.backoff = np.zeros(1 << self.bits), np.full(1 << self.bits, np.nan)
         key = self.key(lang.astype(np.uint64), k.astype(np.uint64), gram.astype(np.uint64))
         slot, left = self.slot(key), np.arange(len(key))
         while len(left):
@@ -258,10 +245,12 @@ def quality(docs: DataFrame, trusted: DataFrame, limit: int = SMALL) -> DataFram
     scored = score(named, model, limit).withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
     scored = stored(scored, "scored")
     test = scored.join(small(ids.filter("held_out"), 24), F.col("doc_id") == F.col("_id")).filter("perplexity IS NOT NULL")
-    cut = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10000))
-    limits = stored(test.groupBy("lang").agg(cut.alias("own")), "limits")
-    overall = test.agg(cut).first()[0]
-    out = scored.join(small(limits, 64), "lang", "left").withColumn("threshold", MARGIN * F.coalesce("own", F.lit(overall).cast("double")))
+    cut = lambda x, q: F.percentile_approx(x, F.lit(q), F.lit(10000))
+    own = stored(test.groupBy("lang").agg(F.count("*").alias("n"), cut("perplexity", 0.5).alias("median"), cut("perplexity", QUANTILE).alias("own")), "limits")
+    over = test.join(small(own, 64), "lang").select("perplexity", (F.col("perplexity") / F.col("median")).alias("ratio"))
+    tail, overall = over.agg(cut("ratio", QUANTILE), cut("perplexity", QUANTILE)).first()
+    limit = F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.col("median") * F.lit(tail).cast("double"))
+    out = scored.join(small(own, 64), "lang", "left").withColumn("threshold", F.coalesce(limit, F.lit(overall).cast("double")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", F.when(F.col("lang") != "none", F.substring("lang", 3, 1 << 30)).alias("lang"), "n_bytes", "perplexity", "threshold", keep.alias("keep"))
 
