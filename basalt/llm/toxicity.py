@@ -7,7 +7,8 @@ so most weights are exactly zero and the model is a few thousand (bucket, weight
 2**BITS of them: that bound is what allows it to be broadcast.
 
 Training rows: at most TRAIN_ROWS labelled documents outside the held-out fold, the ones whose ids
-hash lowest (the same ones in every run); their features are computed by all executors, and one task
+hash lowest (the same ones in every run), of these as many as have TRAIN_BYTES of features together (4 bytes for
+each distinct feature of a text); their features are computed by all executors, and one task
 runs the sequential updates.  Scoring covers every document in one pass without a shuffle.
 
 Defined results: a null or empty text has the bias only; a null label does not train; several labels
@@ -22,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 from .tokens import ALNUM, MULTIPLIER, grams, mix, text_bytes, word_hashes
 
 BITS = 20
-TRAIN_ROWS = 12288
+#: Bounds of the training sample.
+TRAIN_ROWS, TRAIN_BYTES = 12288, 256 << 20
 FOLDS = 5
 
 #: Texts whose features are held at once.
@@ -96,7 +99,12 @@ def _trained(batches):
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
+    """Whether the id is in the fold that no label is learned from (a null id is not)."""
+    return F.coalesce(fold(doc_id) == 0, F.lit(False))
+
+
+def fold(doc_id="doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +114,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     chosen = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
     found = texts.mapInArrow(_featured, "order long, label int, features binary")
-    model = found.repartition(1).sortWithinPartitions("order", "features", "label").mapInArrow(_trained, "bucket int, weight double").toPandas()
+    # TRAIN_ROWS rows at most: one task holds them, and no more than TRAIN_BYTES of features.
+    before = Window.orderBy("order", "features", "label").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.repartition(1).withColumn("bytes", F.sum(F.length("features")).over(before)).filter(F.col("bytes") <= TRAIN_BYTES).select("order", "label", "features")
+    model = found.sortWithinPartitions("order", "features", "label").mapInArrow(_trained, "bucket int, weight double").toPandas()
     return model["bucket"].to_numpy(np.int32), model["weight"].to_numpy(np.float64)
 
 
