@@ -9,7 +9,8 @@ which a stretch ends is taken in part, so quotas are met to the word.
 
 The corpus is touched by DataFrame operations only: one aggregation by pattern, one by hash bucket
 (a distributed prefix sum: a hot source is spread over its buckets), one window inside buckets.
-Only the pattern totals (one row for each pattern) reach the driver.
+Only the pattern totals (one row for each pattern) reach the driver, and the flow is found there: its time grows
+with the square of the number of patterns (README), whatever the number of documents.
 
 Defined results: null text has size 0; a null source is a source of its own and sorts last; empty
 tables give no rows; documents of size 0 take 0; repeated rows are separate documents, ordered by
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table
+from .common import SMALL, WORD, table
 
 #: Rows of a bucket of the prefix sum, on average.
 BUCKET_ROWS = 8192
@@ -159,8 +160,9 @@ def mix(docs: DataFrame, members: Column, text: Column, weight_of, most: int = 3
     plan = spark.createDataFrame(rows, "pattern string, pattern_words long, flow long, cuts array<struct<s:int,a:long,b:long>>, source_size long, target double, buckets long")
     seeded = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     spread = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("long")
-    # One row for each pattern that came to the driver above, so the broadcast is bounded by it.
-    lined = named.join(F.broadcast(plan), "pattern").withColumn("_hash", seeded)
+    # A plan of few patterns and stretches is broadcast, a larger one joined by pattern.
+    lean = sum(200 + 2 * len(r[0]) + 32 * len(r[3]) for r in rows) <= SMALL
+    lined = named.join(F.broadcast(plan) if lean else plan, "pattern").withColumn("_hash", seeded)
     # bucket = floor(hash * buckets / 2^48), kept within long by using the hash's first 32 bits
     lined = prefix_sums(lined, "pattern", "size", ["_hash", "doc_id"], F.shiftright(F.shiftright(spread, 16) * F.col("buckets"), 32))
     def covered(a: Column, b: Column) -> Column:
