@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.snapshots import snapshot
+from ..sources.snapshots import snapshot, stored, versions
 
 
 class EngineError(ValueError):
@@ -56,10 +57,15 @@ class Table:
     primary: list[str] = field(default_factory=list)
     df: DataFrame | None = None
     version: int = 0
+    base: DataFrame | None = None  # what a version began with (None: with nothing), and the folders of rows appended to it
+    added: list[str] = field(default_factory=list)
+    owner: str = ""
+    query: str | None = None  # of a view
+    indexes: dict[str, object] = field(default_factory=dict)
 
     @property
     def view(self) -> str:
-        return f"basalt_{self.schema}_{self.name}"
+        return f"basalt_{self.owner}_{self.schema}_{self.name}"
 
     def column(self, name: str) -> ColumnInfo:
         for c in self.columns:
@@ -68,9 +74,15 @@ class Table:
         raise EngineError(f'column "{name}" of relation "{self.name}" does not exist')
 
 
+#: Folders of appended rows that one version reads before they are written as one.
+APPENDS = 32
+
+
 class Catalog:
+    """The tables of one engine; the views that stand for them in the session bear the engine's id."""
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables, self.sequences = spark, {}, {}
+        self.spark, self.tables, self.sequences, self.id = spark, {}, {}, uuid.uuid4().hex[:12]
 
     def get(self, schema: str, name: str) -> Table:
         found = self.tables.get(f"{schema}.{name}")
@@ -78,9 +90,24 @@ class Catalog:
             raise EngineError(f'relation "{name}" does not exist')
         return found
 
+    def changeable(self, schema: str, name: str) -> Table:
+        found = self.get(schema, name)
+        if found.query is not None:
+            raise EngineError(f'"{name}" is a view')
+        return found
+
+    def free(self, schema: str, name: str) -> None:
+        if f"{schema}.{name}" in self.tables:
+            raise EngineError(f'relation "{name}" already exists')
+
     def add(self, table: Table) -> None:
+        table.owner = self.id
         self.tables[f"{table.schema}.{table.name}"] = table
-        table.df.createOrReplaceTempView(table.view)
+        if table.df is None:
+            self.swap(table)
+        else:
+            table.base = table.df if table.base is None and not table.added else table.base
+            table.df.createOrReplaceTempView(table.view)
 
     def remove(self, table: Table) -> None:
         del self.tables[f"{table.schema}.{table.name}"]
@@ -98,10 +125,23 @@ class Catalog:
     def empty(self, columns: list[ColumnInfo]) -> DataFrame:
         return self.spark.createDataFrame([], ", ".join(f"`{c.name}` {c.type}" for c in columns))
 
-    def swap(self, table: Table, df: DataFrame) -> None:
-        """Make df the table's next version; readers of the old one are not disturbed."""
-        table.df, table.version = df, table.version + 1
-        df.createOrReplaceTempView(table.view)
+    def swap(self, table: Table, df: DataFrame | None = None, path: str | None = None) -> None:
+        """Make df the table's next version, or what lies below path, or nothing; readers of the old one are not disturbed."""
+        table.version += 1
+        table.base, table.added = df if path is None else None, [path] if path else []
+        table.df = self.empty(table.columns) if df is None else df
+        table.df.createOrReplaceTempView(table.view)
+
+    def append(self, table: Table, path: str) -> None:
+        """The next version: what there is and the stored rows below path.  Nothing that is there is written again."""
+        schema = ", ".join(f"`{c.name}` {c.type}" for c in table.columns)
+        added = [*table.added, path]
+        rows = versions(self.spark, added, schema)
+        if len(added) > APPENDS:
+            path, rows = stored(rows, table.name)
+            added = [path]
+        table.df, table.added, table.version = rows if table.base is None else table.base.unionByName(rows), added, table.version + 1
+        table.df.createOrReplaceTempView(table.view)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -141,40 +181,43 @@ def check_unique(table: Table, rows: DataFrame, existing: DataFrame | None) -> N
             raise EngineError(f'duplicate key value violates unique constraint "{constraint}"')
 
 
-def insert(catalog: Catalog, table: Table, rows: DataFrame) -> DataFrame:
-    """Append rows (columns of the table, missing ones take defaults); gives them as stored.  All or nothing."""
+def completed(catalog: Catalog, table: Table, rows: DataFrame, carried: tuple[str, ...] = ()) -> tuple[str, DataFrame]:
+    """The folder and rows of an insert, stored: columns of the table, missing ones filled with defaults, and carried ones."""
     given = set(rows.columns)
     missing = [c for c in table.columns if c.name not in given]
     plain = {c.name: F.expr(c.default) if c.default is not None else F.lit(None) for c in missing if not c.sequence}
     rows = rows.withColumns(plain) if plain else rows
-    serial = [c for c in missing if c.sequence]
+    rows = drawn(catalog, rows, [c for c in missing if c.sequence])
+    return stored(rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in table.columns), *carried), "rows")
+
+
+def drawn(catalog: Catalog, rows: DataFrame, serial: list[ColumnInfo]) -> DataFrame:
+    """rows with a value of its sequence in each of the serial columns."""
     if serial:
         rows = numbered(rows, "_no")
         n = rows.count()
         for c in serial:
             seq = catalog.sequence(c.sequence)
             first = seq.nextval(n) if n else 0
-            rows = rows.withColumn(c.name, F.lit(first) + F.col("_no") * seq.increment)
-    rows = snapshot(rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in table.columns)), "rows")
+            rows = rows.withColumn(c.name, (F.lit(first) + F.col("_no") * seq.increment).cast(c.type))
+        rows = rows.drop("_no")
+    return rows
+
+
+def insert(catalog: Catalog, table: Table, rows: DataFrame) -> DataFrame:
+    """Append rows; gives them as stored.  All or nothing."""
+    path, rows = completed(catalog, table, rows)
     check_not_null(table, rows)
     check_unique(table, rows, table.df)
-    catalog.swap(table, snapshot(table.df.unionByName(rows), table.name))
+    catalog.append(table, path)
     return rows
 
 
-def replace(catalog: Catalog, table: Table, rows: DataFrame) -> None:
-    """Swap in the rows of an update after checking all of them."""
-    rows = snapshot(rows, table.name)
+def replace(catalog: Catalog, table: Table, rows: DataFrame, hit: str | None = None) -> DataFrame:
+    """Swap in the rows of an update, written once, after checking all of them; gives the rows that column hit marks."""
+    path, whole = stored(rows, table.name)
+    rows = whole.drop(hit) if hit else whole
     check_not_null(table, rows)
     check_unique(table, rows, None)
-    catalog.swap(table, rows)
-
-
-def update(catalog: Catalog, table: Table, changes: dict[str, Column], where: Column | None = None) -> None:
-    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-    replace(catalog, table, table.df.select(*(F.when(hit, changes[c.name].cast(c.type)).otherwise(F.col(c.name)).alias(c.name) if c.name in changes else F.col(c.name) for c in table.columns)))
-
-
-def delete(catalog: Catalog, table: Table, where: Column | None = None) -> None:
-    keep = table.df.limit(0) if where is None else table.df.filter(~F.coalesce(where, F.lit(False)))
-    catalog.swap(table, snapshot(keep, table.name))
+    catalog.swap(table, rows, path)
+    return whole.filter(hit).drop(hit) if hit else rows

@@ -219,10 +219,16 @@ class Translator:
         if self.accept("HAVING"):
             rest += " HAVING " + self.expression()
         if on is not None:  # the first row of each key in the query's order
-            keys = self.sort_keys() if self.accept("ORDER", "BY") else [f"{x} ASC NULLS LAST" for x in on]
-            inner = f"SELECT {', '.join(items)}, row_number() OVER (PARTITION BY {', '.join(on)} ORDER BY {', '.join(keys)}) AS `__n`{rest}"
+            ordered = self.accept("ORDER", "BY")
+            keys = self.sort_keys() if ordered else [f"{x} ASC NULLS LAST" for x in on]
+            keys = [re.sub(r"^\d+(?= )", lambda m: f"({re.sub(r' AS `[^`]*`$', '', items[int(m[0]) - 1])})", k) for k in keys]
+            sorts = [k.rsplit(" ", 3) for k in keys]  # the key, its direction and its nulls
+            places = ", ".join(f"{x[0]} AS `__k{n}`" for n, x in enumerate(sorts))
+            inner = f"SELECT {', '.join(items)}, row_number() OVER (PARTITION BY {', '.join(on)} ORDER BY {', '.join(keys)}) AS `__n`, {places}{rest}"
             self.scopes.pop()
-            return f"SELECT * EXCEPT (`__n`) FROM ({inner}) WHERE `__n` = 1"
+            order = " ORDER BY " + ", ".join(f"`__k{n}` {' '.join(x[1:])}" for n, x in enumerate(sorts)) if ordered else ""
+            hidden = ", ".join(["`__n`", *(f"`__k{n}`" for n in range(len(sorts)))])
+            return f"SELECT * EXCEPT ({hidden}) FROM ({inner}) WHERE `__n` = 1{order}"
         self.scopes.pop()
         return out + ", ".join(items) + rest
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException, ParseException
 
-from ..operators.catalog import Catalog, ColumnInfo, EngineError, Sequence, Table, insert, numbered, replace
+from ..operators.catalog import Catalog, ColumnInfo, EngineError, Sequence, Table, check_not_null, check_unique, completed, drawn, insert, numbered, replace
+from ..operators.relational import AnnIndex
+from ..sources import snapshots
 from ..sources.snapshots import snapshot
 from .dialect import TYPES, DialectError, Translator, tokenize
 
@@ -39,7 +41,7 @@ class _Statement(Translator):
 
 class Engine:
     def __init__(self, spark: SparkSession):
-        self.spark, self.catalog = spark, Catalog(spark)
+        self.spark, self.catalog, self.settings = spark, Catalog(spark), {}
         spark.conf.set("spark.sql.ansi.enabled", "true")
 
     def register(self, name: str, df: DataFrame, schema: str = "public") -> None:
@@ -52,8 +54,15 @@ class Engine:
         except (AnalysisException, ParseException):
             return None
 
+    def function(self, name: str, f, type: str) -> None:
+        """Make a Python function (of values, or a pandas UDF) callable in SQL."""
+        self.spark.udf.register(name, f, *([] if hasattr(f, "returnType") else [type]))
+
     def relation(self, schema: str, name: str) -> str:
-        return f"`{self.catalog.get(schema, name).view}`"
+        table = self.catalog.get(schema, name)
+        if table.query is not None:  # a view reads the present versions of its tables
+            self.spark.sql(self.translate(table.query)).createOrReplaceTempView(table.view)
+        return f"`{table.view}`"
 
     def sql(self, text: str, params=()) -> DataFrame:
         """The DataFrame of a query."""
@@ -66,6 +75,11 @@ class Engine:
         s = _Statement(self, tokenize(text), params)
         return s.query()
 
+    def tree(self, text: str, params=()) -> str:
+        """The syntax tree of a query: the parsed plan, before names are looked up."""
+        session = self.spark._jsparkSession
+        return session.sessionState().sqlParser().parsePlan(self.translate(text, params)).treeString()
+
     @staticmethod
     def kinds(text: str) -> list[str]:
         """The kind of every statement of a text: its first word, upper-cased."""
@@ -93,15 +107,23 @@ class Engine:
             query = s.query()
             self.ended(s)
             return Result("SELECT", self.spark.sql(query))
-        if head in ("SET", "SHOW"):
-            return Result(head)
+        if head == "SET":
+            s.take(), s.accept("SESSION") or s.accept("LOCAL")
+            name = s.name()
+            s.accept("TO") or s.accept("=")
+            self.settings[name] = " ".join(x.strip("'") for _, x in tokens[s.i :])
+            return Result("SET")
+        if head == "SHOW":
+            s.take()
+            name = s.name()
+            return Result("SHOW", self.spark.createDataFrame([(self.settings.get(name, ""),)], f"`{name}` string"))
         if head in ("BEGIN", "START", "COMMIT", "ROLLBACK"):
             return Result("OK")
         if head == "EXPLAIN":
             s.take()
             df = self.spark.sql(s.query())
             return Result("EXPLAIN", self.spark.createDataFrame([(df._jdf.queryExecution().toString(),)], "plan string"))
-        act = {"CREATE": self.create, "DROP": self.drop, "ALTER": self.alter, "TRUNCATE": self.truncate, "INSERT": self.insert, "UPDATE": self.update, "DELETE": self.delete}.get(head)
+        act = {"CREATE": self.create, "DROP": self.drop, "ALTER": self.alter, "TRUNCATE": self.truncate, "INSERT": self.insert, "UPDATE": self.update, "DELETE": self.delete, "MERGE": self.merge, "COPY": self.copy}.get(head)
         if act is None:
             raise EngineError(f"unsupported statement type {head}")
         s.take()
@@ -129,6 +151,20 @@ class Engine:
                     seq.increment = int(s.take())
             self.catalog.sequences[f"{schema}.{name}"] = seq
             return Result("CREATE SEQUENCE")
+        again = s.accept("OR", "REPLACE")
+        if s.accept("VIEW"):
+            schema, name = s.table_name()
+            old = self.catalog.tables.get(f"{schema}.{name}")
+            if old is not None and not (again and old.query is not None):
+                raise EngineError(f'relation "{name}" already exists')
+            s.expect("AS")
+            text = " ".join(x for _, x in s.t[s.i :])
+            df = self.spark.sql(s.query())
+            self.catalog.add(Table(schema, name, [ColumnInfo(f.name, f.dataType.simpleString()) for f in df.schema], df=df, query=text))
+            return Result("CREATE VIEW")
+        unique = s.accept("UNIQUE")
+        if s.accept("INDEX"):
+            return self.create_index(s, unique)
         s.expect("TABLE")
         soft = s.accept("IF", "NOT", "EXISTS")
         schema, name = s.table_name()
@@ -163,7 +199,6 @@ class Engine:
         for c in table.columns:
             if c.sequence:
                 self.catalog.sequences[c.sequence] = Sequence()
-        table.df = self.catalog.empty(table.columns)
         self.catalog.add(table)
         return Result("CREATE TABLE")
 
@@ -206,31 +241,105 @@ class Engine:
             else:
                 return c
 
+    def create_index(self, s: _Statement, unique: bool) -> Result:
+        """UNIQUE is a constraint; USING hnsw or ivf builds a stored index of a vector column; others need nothing here."""
+        soft = s.accept("IF", "NOT", "EXISTS")
+        name = s.name() if s.peek() != "ON" else ""
+        s.expect("ON")
+        table = self.catalog.changeable(*s.table_name())
+        kind = s.name().lower() if s.accept("USING") else "btree"
+        s.expect("(")
+        key = [table.column(s.name()).name]
+        if s.kind() == "word" and s.peek() not in (",", ")"):
+            s.take()  # an operator class
+        while s.accept(","):
+            key.append(table.column(s.name()).name)
+        s.expect(")")
+        name = name or f"{table.name}_{'_'.join(key)}_idx"
+        if any(name in t.indexes or name in t.unique for t in self.catalog.tables.values()):
+            if soft:
+                return Result("CREATE INDEX")
+            raise EngineError(f'relation "{name}" already exists')
+        if unique:
+            probe = Table(table.schema, table.name, table.columns, unique={name: key})
+            check_unique(probe, table.df, None)
+            table.unique[name] = key
+        table.indexes[name] = (key[0], AnnIndex.build(table.df, key[0]), table.version) if kind in ("hnsw", "ivf", "ivfflat") else None
+        return Result("CREATE INDEX")
+
+    def nearest(self, index: str, query: list[float], k: int, probes: int | None = None) -> DataFrame:
+        """The rows of about the k nearest vectors by an index, with a column distance; an index of a former version is built again."""
+        for table in self.catalog.tables.values():
+            if table.indexes.get(index):
+                column, built, version = table.indexes[index]
+                if version != table.version:
+                    built = AnnIndex.build(table.df, column)
+                    table.indexes[index] = column, built, table.version
+                return built.search(query, k, probes)
+        raise EngineError(f'index "{index}" does not exist or is not one of vectors')
+
     def drop(self, s: _Statement) -> Result:
-        s.expect("TABLE")
+        """All names are looked up before anything is dropped."""
+        kind = s.take().upper()
+        if kind not in ("TABLE", "VIEW", "INDEX", "SEQUENCE"):
+            raise EngineError(f"unsupported DROP {kind}")
         soft = s.accept("IF", "EXISTS")
+        found = []
         while True:
             schema, name = s.table_name()
-            if f"{schema}.{name}" in self.catalog.tables:
-                self.catalog.remove(self.catalog.get(schema, name))
+            full = f"{schema}.{name}"
+            table = self.catalog.tables.get(full)
+            if kind in ("TABLE", "VIEW"):
+                here = table is not None and (table.query is None) == (kind == "TABLE")
+            elif kind == "INDEX":
+                table = next((t for t in self.catalog.tables.values() if name in t.indexes), None)
+                here = table is not None
+            else:
+                here = full in self.catalog.sequences
+            if here:
+                found.append((table, name, full))
             elif not soft:
-                raise EngineError(f'table "{name}" does not exist')
+                raise EngineError(f'{kind.lower()} "{name}" does not exist')
             if not s.accept(","):
                 break
         s.accept("CASCADE") or s.accept("RESTRICT")
-        return Result("DROP TABLE")
+        self.ended(s)
+        for table, name, full in dict.fromkeys((id(t), n, f) for t, n, f in found):
+            table = next((t for t, _, _ in found if id(t) == table), None)
+            if kind in ("TABLE", "VIEW"):
+                self.catalog.remove(table)
+            elif kind == "INDEX":
+                del table.indexes[name]
+                table.unique.pop(name, None)
+            else:
+                del self.catalog.sequences[full]
+        return Result(f"DROP {kind}")
 
     def alter(self, s: _Statement) -> Result:
         s.expect("TABLE")
-        table = self.catalog.get(*s.table_name())
+        table = self.catalog.changeable(*s.table_name())
         if s.accept("ADD"):
             s.accept("COLUMN")
-            c = self.column(s, table)
-            filled = table.df.withColumn(c.name, (F.expr(c.default) if c.default is not None else F.lit(None)).cast(c.type))
+            before = list(table.columns), dict(table.unique), list(table.primary)
             try:
+                c = self.column(s, table)
+                if table.primary != before[2]:
+                    if before[2]:
+                        raise EngineError(f'multiple primary keys for table "{table.name}" are not allowed')
+                    table.unique[f"{table.name}_pkey"], c.nullable = table.primary, False
+                if c.sequence and c.sequence not in self.catalog.sequences:
+                    self.catalog.sequences[c.sequence] = Sequence()
+                if c.sequence:
+                    filled = drawn(self.catalog, table.df, [c])
+                else:
+                    filled = table.df.withColumn(c.name, (F.expr(c.default) if c.default is not None else F.lit(None)).cast(c.type))
                 replace(self.catalog, table, filled)
-            except EngineError:
-                table.columns.remove(c)
+            except Exception:
+                added = [c for c in table.columns if c not in before[0]]
+                table.columns[:], table.unique, table.primary = before
+                for c in added:
+                    if c.sequence == f"{table.schema}.{table.name}_{c.name}_seq":
+                        self.catalog.sequences.pop(c.sequence, None)
                 raise
         elif s.accept("DROP"):
             s.accept("COLUMN")
@@ -240,6 +349,7 @@ class Engine:
             self.catalog.swap(table, table.df.drop(c.name))
         elif s.accept("RENAME", "TO"):
             name = s.name()
+            self.catalog.free(table.schema, name)
             self.spark.catalog.dropTempView(table.view)
             del self.catalog.tables[f"{table.schema}.{table.name}"]
             table.name = name
@@ -248,7 +358,11 @@ class Engine:
             s.accept("COLUMN")
             c = table.column(s.name())
             s.expect("TO")
-            old, c.name = c.name, s.name()
+            new = s.name()
+            if any(x.name == new for x in table.columns):
+                raise EngineError(f'column "{new}" of relation "{table.name}" already exists')
+            old, c.name = c.name, new
+            table.primary = [new if x == old else x for x in table.primary]
             table.unique = {k: [c.name if x == old else x for x in v] for k, v in table.unique.items()}
             self.catalog.swap(table, table.df.withColumnRenamed(old, c.name))
         else:
@@ -257,11 +371,52 @@ class Engine:
 
     def truncate(self, s: _Statement) -> Result:
         s.accept("TABLE")
+        tables = []
         while True:
-            table = self.catalog.get(*s.table_name())
-            self.catalog.swap(table, self.catalog.empty(table.columns))
+            tables.append(self.catalog.changeable(*s.table_name()))
             if not s.accept(","):
-                return Result("TRUNCATE TABLE")
+                break
+        self.ended(s)
+        for table in tables:
+            self.catalog.swap(table)
+        return Result("TRUNCATE TABLE")
+
+    def copy(self, s: _Statement) -> Result:
+        """COPY table [(columns)] FROM 'path', COPY table or (query) TO 'path', WITH (FORMAT f, HEADER, DELIMITER 'c', NULL 's')."""
+        table, listed = None, None
+        if s.accept("("):
+            df = self.spark.sql(s.query())
+            s.expect(")")
+        else:
+            table = self.catalog.get(*s.table_name())
+            listed = self.names(s) if s.peek() == "(" else [c.name for c in table.columns]
+            df = table.df.select(*listed)
+        into = s.accept("FROM")
+        into or s.expect("TO")
+        path = s.take()[1:-1]
+        s.accept("WITH")
+        options, form = {"header": "false"}, "csv"
+        if s.accept("("):
+            while True:
+                word = s.take().upper()
+                value = s.take().strip("'") if s.peek() not in (",", ")") else "true"
+                if word == "FORMAT":
+                    form = value.lower()
+                else:
+                    options[{"HEADER": "header", "DELIMITER": "sep", "NULL": "nullValue", "QUOTE": "quote"}[word]] = value.lower() if word == "HEADER" else value
+                if not s.accept(","):
+                    break
+            s.expect(")")
+        options = options if form == "csv" else {}
+        if not into:
+            n = df.count()
+            snapshots.write(df, path, form, "overwrite", **options)
+            return Result(f"COPY {n}")
+        if table is None or table.query is not None:
+            raise EngineError("COPY FROM needs a table")
+        schema = ", ".join(f"`{c}` {table.column(c).type}" for c in listed)
+        rows = insert(self.catalog, table, snapshots.read(self.spark, path, form, schema, **(options | {"mode": "FAILFAST"} if form in ("csv", "json") else options)))
+        return Result(f"COPY {rows.count()}")
 
     # DML
 
@@ -278,18 +433,18 @@ class Engine:
 
     def insert(self, s: _Statement) -> Result:
         s.expect("INTO")
-        table = self.catalog.get(*s.table_name())
+        table = self.catalog.changeable(*s.table_name())
+        alias = s.name() if s.accept("AS") else table.name
         listed = self.names(s) if s.peek() == "(" and s.peek(1) not in ("SELECT", "WITH") else [c.name for c in table.columns]
         columns = [table.column(c) for c in listed]
         if s.accept("DEFAULT", "VALUES"):
-            rows = insert(self.catalog, table, self.spark.range(1).drop("id"))
-            return self.returning(s, table, rows, "INSERT 0")
+            return self.placed(s, table, alias, self.spark.range(1).drop("id"))
         if not s.accept("VALUES"):
             df = self.spark.sql(s.query())
             if len(df.columns) > len(columns):
                 raise EngineError("INSERT has more expressions than target columns")
             df = df.toDF(*listed[: len(df.columns)])
-            return self.returning(s, table, insert(self.catalog, table, df), "INSERT 0")
+            return self.placed(s, table, alias, df)
         lines = []
         while True:
             s.expect("(")
@@ -315,8 +470,63 @@ class Engine:
             lines.append("SELECT " + ", ".join(f"CAST({v} AS {c.type}) AS `{c.name}`" for v, c in zip(values, named)))
             if not s.accept(","):
                 break
-        rows = insert(self.catalog, table, self.spark.sql(" UNION ALL ".join(lines)))
-        return self.returning(s, table, rows, "INSERT 0")
+        return self.placed(s, table, alias, self.spark.sql(" UNION ALL ".join(lines)))
+
+    def placed(self, s: _Statement, table: Table, alias: str, rows: DataFrame) -> Result:
+        """Insert rows, as ON CONFLICT says."""
+        if not s.accept("ON", "CONFLICT"):
+            return self.returning(s, table, insert(self.catalog, table, rows), "INSERT 0")
+        key = None
+        if s.accept("ON", "CONSTRAINT"):
+            key = table.unique.get(s.name())
+            if key is None:
+                raise EngineError("constraint does not exist")
+        elif s.peek() == "(":
+            key = self.names(s)
+            if not any(set(key) == set(k) for k in table.unique.values()):
+                raise EngineError("there is no unique or exclusion constraint matching the ON CONFLICT specification")
+        s.expect("DO")
+        new = completed(self.catalog, table, numbered(rows, "_n"), ("_n",))[1]
+        check_not_null(table, new)
+        if s.accept("NOTHING"):
+            kept = new
+            for k in [key] if key else list(table.unique.values()):
+                whole = F.lit(True)
+                for c in k:
+                    whole = whole & F.col(c).isNotNull()
+                one = kept.filter(whole).groupBy(*k).agg(F.min("_n").alias("_n")).select("_n")  # of rows with one key the first
+                kept = kept.filter(~whole).unionByName(kept.join(one, "_n", "left_semi").select(*kept.columns))
+                kept = kept.join(table.df.select(*k), k, "left_anti").select(*kept.columns)
+            return self.returning(s, table, insert(self.catalog, table, kept.drop("_n")), "INSERT 0")
+        s.expect("UPDATE")
+        if key is None:
+            raise EngineError("ON CONFLICT DO UPDATE requires inference specification or constraint name")
+        check_key = Table(table.schema, table.name, table.columns, unique={"ON CONFLICT DO UPDATE": key})
+        new = new.drop("_n")
+        check_unique(check_key, new, None)
+        view = f"{table.view}_excluded"
+        new.createOrReplaceTempView(view)
+        on = " AND ".join(f"`{alias}`.`{c}` = `excluded`.`{c}`" for c in key)
+        s.scopes.append(f" FROM `{table.view}` AS `{alias}` CROSS JOIN `{view}` AS `excluded`")
+        s.expect("SET")
+        changes = self.changes(s, table)
+        where = s.expression() if s.accept("WHERE") else "true"
+        s.scopes.pop()
+        hit = f"(`excluded`.`_here` AND coalesce({where}, false))"
+        columns = ", ".join([f"CASE WHEN {hit} THEN {changes[c.name]} ELSE `{alias}`.`{c.name}` END AS `{c.name}`" if c.name in changes else f"`{alias}`.`{c.name}` AS `{c.name}`" for c in table.columns])
+        old = self.spark.sql(f"SELECT {columns}, coalesce({hit}, false) AS `_hit` FROM `{table.view}` AS `{alias}` LEFT JOIN (SELECT *, true AS `_here` FROM `{view}`) AS `excluded` ON {on}")
+        fresh = new.join(table.df.select(*key), key, "left_anti").select(*new.columns).withColumn("_hit", F.lit(True))
+        return self.returning(s, table, replace(self.catalog, table, old.unionByName(fresh), "_hit"), "INSERT 0")
+
+    def changes(self, s: _Statement, table: Table) -> dict[str, str | None]:
+        """The SET list: column -> SQL of its new value (None: a value of its sequence for each row)."""
+        out: dict[str, str | None] = {}
+        while True:
+            c = table.column(s.name())
+            s.expect("=")
+            out[c.name] = (None if c.sequence else c.default or "NULL") if s.accept("DEFAULT") else s.cast(s.expression(), c.type)
+            if not s.accept(","):
+                return out
 
     def matched(self, s: _Statement, table: Table, name: str, extra: str, where: str, values: dict[str, str]) -> tuple[DataFrame, DataFrame]:
         """The table's stored rows numbered, and (number, new values) of those that match, once each."""
@@ -329,7 +539,7 @@ class Engine:
 
     def update(self, s: _Statement) -> Result:
         schema, name = s.table_name()
-        table = self.catalog.get(schema, name)
+        table = self.catalog.changeable(schema, name)
         alias = (s.alias()[5:-1] if s.peek() != "SET" else "") or name
         s.expect("SET")
         own = f" FROM `{table.view}` AS `{alias}`"
@@ -346,34 +556,113 @@ class Engine:
                 break
         s.i = start
         s.scopes.append(own + extra)
-        changes: dict[str, str] = {}
-        while True:
-            c = table.column(s.name())
-            s.expect("=")
-            changes[c.name] = (str(self.catalog.sequence(c.sequence).nextval()) if c.sequence else c.default or "NULL") if s.accept("DEFAULT") else s.cast(s.expression(), c.type)
-            if not s.accept(","):
-                break
+        changes = self.changes(s, table)
         if s.accept("FROM"):
             s.sources()
-        where = f" WHERE {s.expression()}" if s.accept("WHERE") else ""
+        where = s.expression() if s.accept("WHERE") else "true"
         s.scopes.pop()
-        base, found = self.matched(s, table, alias, extra, where, changes)
-        joined = snapshot(base.join(found.withColumn("_hit", F.lit(True)), "_row", "left"), "updated")
-        rows = joined.select("_hit", *(F.when(F.col("_hit"), F.col(f"_new_{c.name}").cast(c.type)).otherwise(F.col(c.name)).alias(c.name) if c.name in changes else F.col(c.name) for c in table.columns))
-        replace(self.catalog, table, rows.drop("_hit"))
-        return self.returning(s, table, rows.filter("_hit").drop("_hit"), "UPDATE")
+        serial = [table.column(c) for c, v in changes.items() if v is None]
+        changes = {c: v for c, v in changes.items() if v is not None}
+        if extra:
+            base, found = self.matched(s, table, alias, extra, f" WHERE {where}", changes)
+            rows = base.join(found.withColumn("_hit", F.lit(True)), "_row", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        else:  # one pass over the table
+            picks = "".join(f", CASE WHEN `_hit` THEN {v} END AS `_new_{c}`" for c, v in changes.items())
+            rows = self.spark.sql(f"SELECT *{picks} FROM (SELECT *, coalesce({where}, false) AS `_hit` FROM `{table.view}` AS `{alias}`) AS `{alias}`")
+        rows = rows.select("_hit", *(F.when(F.col("_hit"), F.col(f"_new_{c.name}").cast(c.type)).otherwise(F.col(c.name)).alias(c.name) if c.name in changes else F.col(c.name) for c in table.columns))
+        if serial:
+            rows = snapshot(rows, "updated")
+            names = [c.name for c in serial]
+            rows = rows.filter("NOT _hit").unionByName(drawn(self.catalog, rows.filter("_hit").drop(*names), serial))
+        return self.returning(s, table, replace(self.catalog, table, rows, "_hit"), "UPDATE")
 
     def delete(self, s: _Statement) -> Result:
         s.expect("FROM")
         schema, name = s.table_name()
-        table = self.catalog.get(schema, name)
+        table = self.catalog.changeable(schema, name)
         alias = (s.alias()[5:-1] if s.peek() not in ("WHERE", "USING", "RETURNING", "") else "") or name
         extra = f" CROSS JOIN {s.sources()}" if s.accept("USING") else ""
         s.scopes.append(f" FROM `{table.view}` AS `{alias}`{extra}")
-        where = f" WHERE {s.expression()}" if s.accept("WHERE") else ""
+        where = s.expression() if s.accept("WHERE") else "true"
+        s.scopes.pop()
+        if extra:
+            base, found = self.matched(s, table, alias, extra, f" WHERE {where}", {})
+            marked = base.join(found.withColumn("_hit", F.lit(True)), "_row", "left").drop("_row").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        else:
+            marked = self.spark.sql(f"SELECT *, coalesce({where}, false) AS `_hit` FROM `{table.view}` AS `{alias}`")
+        marked = snapshot(marked, table.name)  # kept and deleted rows, written once
+        self.catalog.swap(table, marked.filter("NOT _hit").drop("_hit"))
+        return self.returning(s, table, marked.filter("_hit").drop("_hit"), "DELETE")
+
+    def merge(self, s: _Statement) -> Result:
+        """MERGE INTO table [AS a] USING table or (query) [AS b] ON condition WHEN [NOT] MATCHED [AND condition] THEN ..."""
+        s.expect("INTO")
+        table = self.catalog.changeable(*s.table_name())
+        alias = (s.alias()[5:-1] if s.peek() != "USING" else "") or table.name
+        s.expect("USING")
+        base = numbered(table.df, "_row")
+        view = f"{table.view}_base"
+        base.createOrReplaceTempView(view)
+        source = s.sources()
+        s.expect("ON")
+        s.scopes.append(f" FROM `{table.view}` AS `{alias}` CROSS JOIN {source}")
+        on = s.expression()
+        matched, fresh = [], []
+        while s.accept("WHEN"):
+            new = s.accept("NOT")
+            s.expect("MATCHED")
+            when = f"coalesce({s.expression()}, false)" if s.accept("AND") else "true"
+            s.expect("THEN")
+            if s.accept("DO", "NOTHING"):
+                (fresh if new else matched).append((when, "nothing", {}))
+            elif new:
+                s.expect("INSERT")
+                listed = self.names(s) if s.peek() == "(" else [c.name for c in table.columns]
+                s.expect("VALUES", "(")
+                values = {}
+                for c in map(table.column, listed):
+                    if s.accept("DEFAULT"):
+                        if not c.sequence:
+                            values[c.name] = c.default or "NULL"
+                    else:
+                        values[c.name] = s.cast(s.expression(), c.type)
+                    s.accept(",")
+                s.expect(")")
+                fresh.append((when, "insert", values))
+            elif s.accept("DELETE"):
+                matched.append((when, "delete", {}))
+            else:
+                s.expect("UPDATE", "SET")
+                matched.append((when, "update", self.changes(s, table)))
         s.scopes.pop()
-        base, found = self.matched(s, table, alias, extra, where, {})
-        gone = snapshot(base.join(found, "_row", "left_semi").drop("_row"), "deleted")
-        kept = snapshot(base.join(found, "_row", "left_anti").drop("_row"), table.name)
-        self.catalog.swap(table, kept)
-        return self.returning(s, table, gone, "DELETE")
+        if any(v is None for _, _, c in matched for v in c.values()):
+            raise EngineError("DEFAULT of a sequence is not supported in MERGE")
+        # The first clause whose condition holds decides a row.
+        act = "CASE " + " ".join(f"WHEN {w} THEN {n}" for n, (w, _, _) in enumerate(matched)) + " ELSE -1 END" if matched else "-1"
+        picks = "".join(f", {v} AS `_new_{n}_{c}`" for n, (_, _, changed) in enumerate(matched) for c, v in changed.items())
+        found = snapshot(self.spark.sql(f"SELECT `{alias}`.`_row`, {act} AS `_act`{picks} FROM `{view}` AS `{alias}` CROSS JOIN {source} WHERE {on}"), "matched")
+        if not found.filter("_act >= 0").groupBy("_row").count().filter("count > 1").isEmpty():
+            raise EngineError("MERGE command cannot affect row a second time")
+        joined = base.join(found.filter("_act >= 0"), "_row", "left").withColumn("_act", F.coalesce("_act", F.lit(-1)))
+        value = {c.name: F.col(c.name) for c in table.columns}
+        for n, (_, _, changed) in enumerate(matched):
+            for c in changed:
+                value[c] = F.when(F.col("_act") == n, F.col(f"_new_{n}_{c}").cast(table.column(c).type)).otherwise(value[c])
+        gone = [n for n, (_, kind, _) in enumerate(matched) if kind == "delete"]
+        busy = [n for n, (_, kind, _) in enumerate(matched) if kind != "nothing"]
+        rows = joined.select(*(value[c.name].alias(c.name) for c in table.columns), F.col("_act").isin(busy).alias("_hit"), F.col("_act").isin(gone).alias("_gone"))
+        parts, left = [], "true"
+        for when, kind, values in fresh:
+            if kind == "insert":
+                picks = ", ".join(f"CAST({v} AS {table.column(c).type}) AS `{c}`" for c, v in values.items())
+                some = self.spark.sql(f"SELECT {picks} FROM {source} WHERE ({left}) AND ({when}) AND NOT EXISTS (SELECT 1 FROM `{table.view}` AS `{alias}` WHERE {on})")
+                parts.append(completed(self.catalog, table, some)[1])
+            left = f"{left} AND NOT ({when})"
+        for part in parts:
+            rows = rows.unionByName(part.withColumns({"_hit": F.lit(True), "_gone": F.lit(False)}))
+        whole = snapshot(rows, table.name)
+        now = whole.filter("NOT _gone").drop("_gone", "_hit")
+        check_not_null(table, now)
+        check_unique(table, now, None)
+        self.catalog.swap(table, now)
+        return Result(f"MERGE {whole.filter('_hit').count()}")

@@ -274,6 +274,56 @@ def truncate_table(spark, sf):
     return e.sql("SELECT count(*)::int AS n FROM target")
 
 
+def _table(name: str, oracle: str, create: str, *statements: str, result: str = "SELECT * FROM target") -> None:
+    """A query that makes a table, changes it and reads it."""
+
+    @query(oracle)
+    def run(spark, sf):
+        e = engine(spark, sf)
+        for text in (create, *statements):
+            e.execute(text)
+        return e.sql(result)
+
+    QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
+
+
+_table(
+    "upsert_update", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS name, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END AS n FROM nation UNION ALL SELECT 100, 'new', 1",
+    "CREATE TABLE target (k int PRIMARY KEY, name text, n int DEFAULT 1)", "INSERT INTO target (k, name) SELECT n_nationkey, n_name FROM nation",
+    "INSERT INTO target (k, name) SELECT n_nationkey, n_name || '!' FROM nation WHERE n_regionkey IN (1, 2) UNION ALL SELECT 100, 'new' ON CONFLICT (k) DO UPDATE SET name = excluded.name, n = target.n + 1 WHERE target.k IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+)
+_table(
+    "upsert_nothing", "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 50, 'x'",
+    "CREATE TABLE target (k int UNIQUE, name text)", "INSERT INTO target SELECT r_regionkey, r_name FROM region",
+    "INSERT INTO target VALUES (0, 'again'), (50, 'x'), (50, 'y') ON CONFLICT DO NOTHING",
+)
+_table(
+    "merge_into", "SELECT s_suppkey AS k, CASE WHEN s_nationkey < 5 THEN s_acctbal + 1 ELSE s_acctbal END AS bal FROM supplier WHERE s_nationkey < 5 OR s_nationkey >= 10 AND s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 0.0 FROM supplier WHERE s_suppkey % 2 = 1 AND s_nationkey >= 10",
+    "CREATE TABLE target AS SELECT s_suppkey AS k, s_acctbal AS bal FROM supplier WHERE s_nationkey < 10 OR s_suppkey % 2 = 0",
+    "MERGE INTO target AS t USING supplier AS s ON t.k = s.s_suppkey WHEN MATCHED AND s.s_nationkey < 5 THEN UPDATE SET bal = t.bal + 1 WHEN MATCHED AND s.s_nationkey < 10 THEN DELETE WHEN NOT MATCHED THEN INSERT (k, bal) VALUES (s.s_suppkey, 0.0)",
+)
+_table(
+    "view_over_changes", "SELECT n_regionkey, count(*) AS n FROM (SELECT n_regionkey FROM nation UNION ALL SELECT 9) GROUP BY n_regionkey",
+    "CREATE TABLE target AS SELECT n_nationkey, n_regionkey FROM nation", "CREATE VIEW regions AS SELECT n_regionkey, count(*) AS n FROM target GROUP BY n_regionkey", "INSERT INTO target VALUES (99, 9)", result="SELECT * FROM regions",
+)
+_table("rename_table", "SELECT r_regionkey FROM region", "CREATE TABLE first AS SELECT r_regionkey FROM region", "ALTER TABLE first RENAME TO target")
+_table("drop_and_create", "SELECT 1 AS a", "CREATE TABLE target AS SELECT * FROM nation", "DROP TABLE IF EXISTS target, missing", "CREATE TABLE target (a int)", "INSERT INTO target VALUES (1)")
+_table("add_serial_column", "SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS id FROM region UNION ALL SELECT 9, 6", "CREATE TABLE target AS SELECT r_regionkey FROM region ORDER BY r_regionkey", "ALTER TABLE target ADD COLUMN id serial", "INSERT INTO target (r_regionkey) VALUES (9)", result="SELECT r_regionkey, id::bigint AS id FROM target")
+_table("update_default_serial", "SELECT count(DISTINCT n_nationkey) AS n FROM nation", "CREATE TABLE target (id serial, k int)", "INSERT INTO target (k) SELECT n_nationkey FROM nation", "UPDATE target SET id = DEFAULT", result="SELECT count(DISTINCT id) AS n FROM target WHERE id > 25")
+_table("sequence_draws", "SELECT 100 AS a, 110 AS b, 120 AS c", "CREATE SEQUENCE q START WITH 100 INCREMENT BY 10", result="SELECT nextval('q')::int AS a, nextval('q')::int AS b, nextval('q')::int AS c")
+_table("insert_many_times", "SELECT k FROM (VALUES (1), (2), (3), (4)) AS v(k)", "CREATE TABLE target (k int PRIMARY KEY)", *(f"INSERT INTO target VALUES ({i})" for i in (1, 2, 3, 4)))
+
+dialect("distinct_on_limit", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 7")
+dialect("join_natural", "SELECT c_custkey, k FROM customer NATURAL JOIN (SELECT o_custkey AS c_custkey, o_orderkey AS k FROM orders) AS o")
+dialect("join_lateral", "SELECT r_name, x.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) AS x")
+dialect("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+dialect("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+dialect("with_recursive", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 20) SELECT n FROM s")
+dialect("window_rank_lag", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two FROM orders", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS two FROM orders")
+dialect("string_agg_ordered", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+dialect("vector_equality", f"SELECT vec_id FROM embeddings WHERE embedding = embedding AND embedding <> {_literal}::vector", "SELECT vec_id FROM embeddings")
+
+
 # Streams (a Spark extension over events)
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

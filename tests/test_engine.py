@@ -120,3 +120,145 @@ def test_vector_tables(e):
     e.execute("INSERT INTO items VALUES (1,'[1,0,0]'),(2,'[0,1,0]'),(3,'[1,1,0]'),(4,NULL)")
     assert [r[0] for r in e.execute("SELECT id FROM items ORDER BY embedding <-> '[1,0,0]' LIMIT 2").rows()] == [1, 3]
     assert e.execute("SELECT id FROM items WHERE embedding <#> '[0,2,0]' < -1 ORDER BY id").rows() == [(2,), (3,)]
+
+
+def test_engines_do_not_see_each_other(spark, e):
+    other = Engine(spark)
+    for x, v in ((e, 1), (other, 2)):
+        x.execute("CREATE TABLE same (v int)")
+        x.execute(f"INSERT INTO same VALUES ({v})")
+    assert one(e, "SELECT v FROM same") == 1 and one(other, "SELECT v FROM same") == 2
+    e.execute("DROP TABLE same")
+    assert one(other, "SELECT v FROM same") == 2
+
+
+def test_distinct_on_keeps_the_order(e):
+    v = "(VALUES (1, 2), (1, 5), (3, 1), (2, 9), (3, 4)) AS v(k, x)"
+    assert e.execute(f"SELECT DISTINCT ON (k) k, x FROM {v} ORDER BY k DESC, x LIMIT 1").rows() == [(3, 1)]
+    assert e.execute(f"SELECT DISTINCT ON (k) k, x FROM {v} ORDER BY 1 DESC, x DESC").rows() == [(3, 4), (2, 9), (1, 5)]
+    assert e.execute(f"SELECT DISTINCT ON (k) x AS y FROM {v} ORDER BY k, x OFFSET 1").rows() == [(9,), (1,)]
+    assert sorted(e.execute(f"SELECT DISTINCT ON (k) k FROM {v} UNION ALL SELECT 7").rows()) == [(1,), (2,), (3,), (7,)]
+
+
+def test_failed_ddl_changes_nothing(e):
+    e.execute("CREATE TABLE a (k int)")
+    e.execute("INSERT INTO a VALUES (1), (2)")
+    e.execute("CREATE TABLE b (k int)")
+    with pytest.raises(EngineError, match="already exists"):
+        e.execute("ALTER TABLE a RENAME TO b")
+    e.execute("ALTER TABLE a ADD COLUMN x int")
+    with pytest.raises(EngineError, match="already exists"):
+        e.execute("ALTER TABLE a RENAME COLUMN x TO k")
+    e.execute("ALTER TABLE a DROP COLUMN x")
+    for text in ("DROP TABLE a, missing", "TRUNCATE a, missing"):
+        with pytest.raises(EngineError, match="does not exist"):
+            e.execute(text)
+    assert one(e, "SELECT count(*) FROM a") == 2
+    with pytest.raises(EngineError, match="unique"):
+        e.execute("ALTER TABLE a ADD COLUMN u int DEFAULT 3 UNIQUE")
+    e.execute("INSERT INTO a VALUES (3)")
+    e.execute("ALTER TABLE a ADD COLUMN u int UNIQUE")
+    e.execute("INSERT INTO a VALUES (4, 5)")
+    with pytest.raises(EngineError, match="unique"):
+        e.execute("INSERT INTO a VALUES (5, 5)")
+    e.execute("DROP TABLE IF EXISTS a, missing")
+    with pytest.raises(EngineError):
+        e.execute("SELECT * FROM a")
+
+
+def test_serial_columns(e):
+    e.execute("CREATE TABLE t (k int)")
+    e.execute("INSERT INTO t VALUES (7), (8)")
+    e.execute("ALTER TABLE t ADD COLUMN id serial")
+    e.execute("INSERT INTO t (k) VALUES (9)")
+    assert sorted(r[0] for r in e.execute("SELECT id FROM t").rows()) == [1, 2, 3] and e.execute("SELECT k FROM t WHERE id = 3").rows() == [(9,)]
+    assert sorted(e.execute("UPDATE t SET id = DEFAULT WHERE k > 7 RETURNING k, id > 3").rows()) == [(8, True), (9, True)]
+    assert one(e, "SELECT count(DISTINCT id) FROM t") == 3
+
+
+def test_upsert(e):
+    e.execute("CREATE TABLE t (k int PRIMARY KEY, a text, n int DEFAULT 1)")
+    e.execute("INSERT INTO t (k, a) VALUES (1, 'x'), (2, 'y')")
+    up = "ON CONFLICT (k) DO UPDATE SET a = excluded.a, n = t.n + 1"
+    assert sorted(e.execute(f"INSERT INTO t (k, a) VALUES (2, 'z'), (3, 'w') {up} RETURNING k, n").rows()) == [(2, 2), (3, 1)]
+    assert e.execute(f"INSERT INTO t (k, a) VALUES (1, 'q') {up} WHERE t.a <> 'x'").tag == "INSERT 0 0"
+    assert e.execute("INSERT INTO t (k, a) VALUES (3, 'no'), (4, 'p'), (4, 'r') ON CONFLICT DO NOTHING").tag == "INSERT 0 1"
+    assert sorted(e.execute("SELECT * FROM t").rows()) == [(1, "x", 1), (2, "z", 2), (3, "w", 1), (4, "p", 1)]
+    with pytest.raises(EngineError, match="unique"):
+        e.execute(f"INSERT INTO t (k) VALUES (9), (9) {up}")
+    with pytest.raises(EngineError, match="matching"):
+        e.execute("INSERT INTO t (k) VALUES (9) ON CONFLICT (a) DO NOTHING")
+    assert one(e, "SELECT count(*) FROM t") == 4
+
+
+def test_merge(e):
+    e.execute("CREATE TABLE t (k int PRIMARY KEY, v int)")
+    e.execute("INSERT INTO t VALUES (1, 10), (2, 20), (3, 30)")
+    e.execute("CREATE TABLE s (k int, v int)")
+    e.execute("INSERT INTO s VALUES (2, 5), (3, 0), (4, 40), (5, 0)")
+    text = "MERGE INTO t USING s ON t.k = s.k WHEN MATCHED AND s.v = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET v = t.v + s.v WHEN NOT MATCHED AND s.v > 0 THEN INSERT VALUES (s.k, s.v)"
+    assert e.execute(text).tag == "MERGE 3"
+    assert sorted(e.execute("SELECT * FROM t").rows()) == [(1, 10), (2, 25), (4, 40)]
+    e.execute("INSERT INTO s VALUES (2, 6)")
+    with pytest.raises(EngineError, match="second time"):
+        e.execute("MERGE INTO t USING s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v")
+    assert sorted(e.execute("SELECT * FROM t").rows()) == [(1, 10), (2, 25), (4, 40)]
+
+
+def test_views_copy_and_settings(e, tmp_path):
+    e.execute("CREATE TABLE t (k int, a text)")
+    e.execute("CREATE VIEW v AS SELECT k * 2 AS d FROM t WHERE a <> 'no'")
+    e.execute("INSERT INTO t VALUES (1, 'yes'), (2, 'no'), (3, 'a,b')")
+    assert sorted(e.execute("SELECT d FROM v").rows()) == [(2,), (6,)]
+    with pytest.raises(EngineError, match="is a view"):
+        e.execute("INSERT INTO v VALUES (1)")
+    e.execute("CREATE OR REPLACE VIEW v AS SELECT max(k) AS d FROM t")
+    assert one(e, "SELECT d FROM v") == 3
+    e.execute("DROP VIEW v")
+    assert e.execute(f"COPY t TO '{tmp_path}/t' WITH (FORMAT csv, HEADER)").tag == "COPY 3"
+    assert e.execute(f"COPY t FROM '{tmp_path}/t' WITH (FORMAT csv, HEADER true)").tag == "COPY 3"
+    assert e.execute(f"COPY (SELECT k FROM t) TO '{tmp_path}/p' WITH (FORMAT parquet)").tag == "COPY 6" and one(e, "SELECT count(*) FROM t WHERE a = 'a,b'") == 2
+    e.execute("SET search_path TO 'x'")
+    assert one(e, "SHOW search_path") == "x"
+    assert "UnresolvedRelation" in e.tree("SELECT k FROM t")
+    e.function("twice", lambda x: None if x is None else 2 * x, "int")
+    assert one(e, "SELECT sum(twice(k)) FROM t") == 24
+
+
+def test_vector_index(e):
+    e.execute("CREATE TABLE p (id int, pos vector(2))")
+    e.execute("INSERT INTO p VALUES " + ", ".join(f"({i}, '[{i % 10},{i // 10}]')" for i in range(100)))
+    e.execute("CREATE INDEX near ON p USING hnsw (pos vector_l2_ops)")
+    e.execute("CREATE INDEX plain ON p (id)")
+    with pytest.raises(EngineError, match="already exists"):
+        e.execute("CREATE INDEX near ON p (id)")
+    index = e.catalog.get("public", "p").indexes["near"][1]
+    assert sorted(r.id for r in e.nearest("near", [4.1, 4.1], 1, probes=len(index.centres)).collect()) == [44]
+    assert len(e.nearest("near", [4.1, 4.1], 5).collect()) == 5
+    e.execute("INSERT INTO p VALUES (500, '[4.1,4.1]')")
+    assert e.nearest("near", [4.1, 4.1], 1).first().id == 500  # built again for the new version
+    e.execute("CREATE UNIQUE INDEX u ON p (pos)")
+    with pytest.raises(EngineError, match="unique"):
+        e.execute("INSERT INTO p VALUES (501, '[4.1,4.1]')")
+    e.execute("DROP INDEX near")
+    with pytest.raises(EngineError, match="does not exist"):
+        e.nearest("near", [0.0, 0.0], 1)
+
+
+def test_inserts_append(spark, e):
+    """An insert writes its own rows only, and many inserts stay one flat plan."""
+    e.execute("CREATE TABLE t (k int)")
+    for i in range(35):
+        e.execute(f"INSERT INTO t VALUES ({i})")
+    table = e.catalog.get("public", "t")
+    assert sorted(r[0] for r in e.execute("SELECT k FROM t").rows()) == list(range(35)) and len(table.added) < 35
+    assert table.df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 2
+
+
+def test_command_line(capsys, spark):
+    from basalt.__main__ import main
+
+    assert main(["-c", "SELECT 1 + 1 AS two; SELECT 'x' AS y", "--timing"]) == 0
+    out = capsys.readouterr().out
+    assert "two" in out and "2" in out and "x" in out and "Time:" in out
+    assert main(["-c", "SELECT nope"]) == 1
