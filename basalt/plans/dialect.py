@@ -215,7 +215,7 @@ class Translator:
         if self.accept("WHERE"):
             rest += " WHERE " + self.expression()
         if self.accept("GROUP", "BY"):
-            rest += " GROUP BY " + ", ".join(self.expressions(ordinals=True))
+            rest += " GROUP BY " + (self.grouping_sets() if self.accept("GROUPING", "SETS", "(") else ", ".join(self.expressions(ordinals=True)))
         if self.accept("HAVING"):
             rest += " HAVING " + self.expression()
         if on is not None:  # the first row of each key in the query's order
@@ -232,6 +232,20 @@ class Translator:
         self.scopes.pop()
         return out + ", ".join(items) + rest
 
+    def grouping_sets(self) -> str:
+        out = []
+        while True:
+            if self.accept("(", ")"):
+                out.append("()")
+            elif self.accept("("):
+                out.append(f"({', '.join(self.expressions())})")
+                self.expect(")")
+            else:
+                out.append(f"({self.expression()})")
+            if not self.accept(","):
+                self.expect(")")
+                return f"GROUPING SETS ({', '.join(out)})"
+
     def items(self) -> list[str]:
         out = []
         while True:
