@@ -8,15 +8,18 @@ with 0.999996.  One bit of each of the first SKETCH minima is a node's sketch; a
 whose sketch differs from all others there in five standard deviations more places than those of pairs at the threshold
 do on average is let go (of pairs at 0.8 about 1 in 100,000).
 
-Keys travel packed (packed.py), the nodes that share some are gathered in leaves (leaves.py), and every two nodes of leaves that
+Keys travel packed (packed.py).  Lines with a long passage in common share keys without being near, and many have it; so the nodes of
+a key are compared by odd sketches: BITS parities of the hashed set, of which two sets differ in no more places than they
+have elements apart, so no link is lost.  What has a possible partner is gathered in leaves (leaves.py), and every two nodes of leaves that
 meet are verified by the exact Jaccard similarity of their shingle sets.  Links
 are closed to components by distributed union-find, and of each component one line stays: the one
 that comes first by (doc_id, line number).  Line texts are read again from the documents, once, for nodes with
 candidates only.
 
 Defined results: a null text has no lines and stays null; empty lines, and those under min_chars, always stay; a document
-with a null doc_id stays as it is and takes no part; rows sharing a doc_id are decided alike, so a repeated
-row keeps what the first keeps; a document all of whose lines go has an empty text; an empty table gives
+with a null doc_id stays as it is and takes no part; equal rows are decided alike, so a repeated
+row keeps what the first keeps; rows that share a doc_id with different texts are documents of their own, in the order of a hash of
+the text; a document all of whose lines go has an empty text; an empty table gives
 no rows; other columns pass through ``dedup`` untouched.  Node ids are 64 bits of a line's digest.
 """
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +44,14 @@ SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
 #: What dedup takes as min_chars if nothing is given.
 MIN_CHARS = 20
 
-#: Characters of texts that are hashed at once.
-BLOCK = 1 << 17
+#: Characters of texts that are hashed at once; hashes whose minima are taken together.
+BLOCK, LANES = 1 << 17, 16
+
+#: Bits of an odd sketch.
+BITS = 1024
+
+#: Nodes of a key that are compared by odd sketches in one task (twice as many, if a key has more).
+KEY_NODES = 4096
 
 #: Odd factors: each permutes the (already mixed) 32-bit hashes.
 FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32) | np.uint32(1)
@@ -83,14 +93,17 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The band keys of each line of SHINGLE characters at least, and its sketch: one bit of each of SKETCH minima."""
     wide, starts, sizes = wide_shingles(lines)
-    x = (wide >> np.uint64(32)).astype(np.uint32)
-    cuts = np.empty(2 * len(lines), np.int64)
-    cuts[::2], cuts[1::2] = starts, starts + sizes
+    # Each line's hashes fill whole columns of LANES, the last one with repeats of its first hash.
+    columns = -(-sizes // LANES)
+    cuts = np.concatenate([[0], np.cumsum(columns)[:-1]])
+    at = np.arange(columns.sum() * LANES) - np.repeat(cuts * LANES, columns * LANES)
+    at[at >= np.repeat(sizes, columns * LANES)] = 0
+    x = np.ascontiguousarray((wide[at + np.repeat(starts, columns * LANES)] >> np.uint64(32)).astype(np.uint32).reshape(-1, LANES).T)
     keys, sketch = np.zeros((len(lines), BANDS), np.uint64), np.zeros(len(lines), np.uint64)
     y = np.empty_like(x)
     for i in range(ROWS * BANDS):
         np.multiply(x, FACTORS[i], out=y)
-        low = np.minimum.reduceat(y, cuts)[::2]
+        low = np.minimum.reduceat(np.minimum.reduce(y, axis=0), cuts)
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] * MULTIPLIER + low + np.uint64(i + 1))
         if i < SKETCH:
             sketch |= (low * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i)
@@ -120,15 +133,15 @@ def blocks(column: pa.Array, min_chars: int):
 
 
 def _placed(min_chars: int):
-    """(doc_id, text) -> doc_id, line_no, node and characters of each line."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("n", pa.int32())])
+    """(row, doc_id, text) -> row, doc_id, line_no, node and characters of each line."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for rows in blocks(batch.column(1), min_chars):
+            for rows in blocks(batch.column(2), min_chars):
                 text, numbers, lines = zip(*rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64()), pa.array(map(len, lines), pa.int32())], schema=schema)
+                text = pa.array(text)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(numbers, pa.int32()), pa.array(map(line_id, lines), pa.int64()), pa.array(map(len, lines), pa.int32())], schema=schema)
 
     return run
 
@@ -163,59 +176,148 @@ def line_sets(lines: list[str]):
         at = end
 
 
+def odd_sketch(found: np.ndarray) -> bytes:
+    """The parities of a set's numbers of elements by hash, BITS of them."""
+    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _lines(batches):
-    """Rows (wanted: line_no and node of lines, text) -> node, line."""
-    schema = pa.schema([("node", pa.int64()), ("line", pa.string())])
+    """Rows (wanted: line_no and node of lines, text) -> node, line, size of its set and its odd sketch."""
+    schema = pa.schema([("node", pa.int64()), ("line", pa.string()), ("size", pa.int64()), ("sketch", pa.binary())])
 
     def rows():
         for batch in batches:
             for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 lines = (text.as_py() or "").split("\n")
-                for w in wanted:
-                    line = lines[w["line_no"]].strip() if w["line_no"] < len(lines) else ""
-                    if line_id(line) == w["node"]:
-                        yield len(line), (w["node"], line)
+                found = [(w["node"], lines[w["line_no"]].strip()) for w in wanted if w["line_no"] < len(lines)]
+                found = [(node, line) for node, line in found if line_id(line) == node]
+                for (node, line), members in zip(found, line_sets([line for _, line in found])):
+                    yield len(line) + BITS // 8, (node, line, len(members), odd_sketch(members))
 
     yield from flushed(rows(), schema)
 
 
+def group_labels(near: np.ndarray) -> np.ndarray:
+    """For symmetric relations (groups, g, g) the smallest index that each index reaches."""
+    label = np.broadcast_to(np.arange(near.shape[1], dtype=np.int32), near.shape[:2]).copy()
+    while True:
+        low = label.copy()
+        for at in range(0, near.shape[1], 256):  # stripes of large groups
+            part = np.where(near[:, at : at + 256], label[:, None, :], np.int32(near.shape[1])).min(2)
+            low[:, at : at + 256] = np.minimum(low[:, at : at + 256], part)
+        low = np.minimum(low, np.take_along_axis(low, low.astype(np.int64), 1))
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _possible(num: int, den: int):
+    """Rows (key, low, high, side, node, size, sketch, whole), by blocks of a key -> key and node of those with a possible partner.
+
+    Where a block is a whole key, the key is told apart for nodes that no chain of possible partners connects."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def tested(rows: pa.Table):
+        key, low, high, side, node, size = (rows.column(i).to_numpy() for i in range(6))
+        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint64).reshape(len(key), -1)
+        whole = rows.column(7).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        counts, keep, named = np.diff(starts, append=len(key)), np.zeros(len(key), bool), key.copy()
+        for g in np.unique(counts[counts > 1]).tolist():
+            at, step = starts[counts == g], (1 << 15) // (g * g) + 1
+            for some in (at[i : i + step] for i in range(0, len(at), step)):
+                places = some[:, None] + np.arange(g)
+                near = np.zeros((len(some), g, g), bool)
+                for part in range(0, g, 256):
+                    mine = places[:, part : part + 256]
+                    apart = sum(np.bitwise_count(sketch[mine, w][:, :, None] ^ sketch[places, w][:, None, :]).astype(np.int32) for w in range(sketch.shape[1]))
+                    close = (num + den) * apart <= (den - num) * (size[mine][:, :, None] + size[places][:, None, :])
+                    close &= node[mine][:, :, None] != node[places][:, None, :]
+                    near[:, part : part + 256] = close & ((low[mine] == high[mine])[:, :, None] | (side[mine][:, :, None] != side[places][:, None, :]))
+                keep[places] |= near.any(2)
+                one = places[whole[some]]
+                if len(one):
+                    label = np.take_along_axis(node[one], group_labels(near[whole[some]]).astype(np.int64), 1)
+                    named[one] = mix((key[one] ^ label).view(np.uint64) * MULTIPLIER + key[one].view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(named[keep]), pa.array(node[keep])], schema=schema)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows from the start of a block on
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                key, low, high = (part.column(i).to_numpy() for i in range(3))
+                ends = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+                last = held and tuple(held[-1].column(i)[-1].as_py() for i in range(3))
+                if held and last != (key[0], low[0], high[0]):
+                    yield tested(pa.Table.from_batches(held))
+                    held = []
+                if len(ends):
+                    yield tested(pa.Table.from_batches([*held, part.slice(0, int(ends[-1]) + 1)]))
+                    held, part = [], part.slice(int(ends[-1]) + 1)
+                held.append(part)
+        if held:
+            yield tested(pa.Table.from_batches(held))
+
+    return run
+
+
+def possible(shared: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """key, node, centre of shared (key, node) for the nodes that the odd sketches leave a partner of their key; what is
+    not connected in a key has another one."""
+    blocks = shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_NODES).cast("int").alias("blocks"))
+    rows = shared.select("key", "node").join(sketches, "node").join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "size", "sketch", (F.col("blocks") == 1).alias("whole"))
+    dealt_ = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    left = stored(dealt_.mapInArrow(_possible(num, den), "key long, node long").distinct(), "possible")
+    centres = left.groupBy("key").agg(F.min("node").alias("centre"))
+    return stored(left.join(centres, "key").select("key", "node", "centre"), "possible-keys")
+
+
 @tidied("removals")
 def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, gone: the numbers (from 0) of the lines that go, for documents that lose any."""
-    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    places = stored(known.mapInArrow(_placed(min_chars), "doc_id long, line_no int, node long, n int"), "places")
+    """row (xxhash64 of doc_id and text), gone: the numbers (from 0) of the lines that go, for documents that lose any."""
+    known = docs.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    places = stored(known.mapInArrow(_placed(min_chars), "row long, doc_id long, line_no int, node long, n int"), "places")
     parts = parts_for(places.filter(F.col("n") >= SHINGLE).count() * BANDS, True)
     entries = known.select("text").mapInArrow(entered(parts, _entries(min_chars)), ENTERED)
     shared = stored(shared_keys(entries, parts, most_places(num, den)), "shared-keys")
-    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    nodes = stored(first.select("node", "f.doc_id", "f.line_no", "copies", "n"), "line-nodes")
-    members, meet = gathered(shared, nodes.select("node", (8 * F.col("n")).alias("bytes")))
-    wanted = members.join(nodes, "node").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
-    # A document's list holds lines of its own only; repeated rows of one id give a line several times.
-    texts = known.join(stored(wanted, "wanted").withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("wanted", "text")
-    lines = stored(texts.mapInArrow(_lines, "node long, line string"), "lines").dropDuplicates(["node"])
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    nodes = stored(first.select("node", "f.doc_id", "f.row", "f.line_no", "copies", "n"), "line-nodes")
+    wanted = shared.select("node").distinct().join(nodes, "node").groupBy("row").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
+    # A document's list holds lines of its own only; repeated rows give a line several times.
+    texts = known.join(stored(wanted, "wanted").withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("wanted", "text")
+    lines = stored(texts.mapInArrow(_lines, "node long, line string, size long, sketch binary"), "lines")
+    near = possible(shared, lines.select("node", "size", "sketch").dropDuplicates(["node"]), num, den)
     dropped(shared)
-    rows = members.join(lines, "node").join(meet, "leaf").select("la", "lb", "side", "node", F.lit(1).cast("long").alias("copies"), "line")
+    members, meet = gathered(near, nodes.select("node", (8 * F.col("n")).alias("bytes")))
+    texts = members.join(lines.select("node", "line"), "node").dropDuplicates(["node"])
+    rows = texts.join(meet, "leaf").select("la", "lb", "side", "node", F.lit(1).cast("long").alias("copies"), "line")
     links = stored(dealt(rows).mapInArrow(linked(line_sets, num, den), LINKED).filter("other IS NOT NULL"), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rooted = nodes.join(labels, "node", "left").select("node", "doc_id", "line_no", "copies", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(labels, "node", "left").select("node", F.struct("doc_id", "row", "line_no").alias("f"), "copies", F.coalesce("root", "node").alias("root"))
     # Components of one line that occurs once decide nothing.
-    keepers = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
+    keepers = rooted.groupBy("root").agg(F.min("f").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
     decided = stored(rooted.join(keepers.select("root", "keep"), "root").select("node", "keep"), "decided")
-    lost = places.join(small(decided, 48), "node").filter((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line_no") != F.col("keep.line_no")))
-    return lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    lost = places.join(small(decided, 56), "node").filter((F.col("row") != F.col("keep.row")) | (F.col("line_no") != F.col("keep.line_no")))
+    return lost.groupBy("row").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text lacking the lines that go, n_lines and n_kept."""
-    gone = removals(docs, num, den, min_chars).withColumnRenamed("doc_id", "_id")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    joined = docs.join(small_lists(gone, "gone", 8), F.col("doc_id") == F.col("_id"), "left")
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    return joined.withColumns({"n_lines": n, "n_kept": n - F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)}).drop("_id", "gone")
+    gone = removals(docs, num, den, min_chars).select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+
+    @F.pandas_udf("string")
+    def without(texts, lists):
+        return pd.Series(["\n".join(x for i, x in enumerate(text.split("\n")) if i not in some) if text is not None else None for text, some in ((t, set(g) if g is not None else ()) for t, g in zip(texts, lists))], dtype="object")
+
+    lost = F.col("_gone").isNotNull()
+    n = F.when(F.col("text").isNull(), 0).otherwise(1 + F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))))
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    joined = docs.join(small_lists(gone, "_gone", 8), row == F.col("_row"), "left")
+    changed = F.when(lost, without(F.when(lost, F.col("text")), "_gone")).otherwise(F.col("text"))
+    return joined.withColumns({"n_lines": n, "n_kept": n - F.when(lost, F.size("_gone")).otherwise(0), "text": changed}).drop("_row", "_gone")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
