@@ -12,7 +12,8 @@ size of the host, and its names are MIN_VARIETY of its contents at least: a para
 article has many contents and few names.  Templates are deleted from their host's pages.
 
 Inside an article headings, list items, table cells and inline marks are content even where pages share them; a paragraph
-or quotation can be a template if it has at most SHORT words or stands first or last in the article; structures around them can be.  Outside articles all elements can be.
+or quotation of at most SHORT words, or the first or last in the article, is a template only if MIN_SHARE of the host's contents have it
+(a notice in every article; a line that some articles share is theirs); structures around them are like what stands outside articles, where all elements can be templates.
 
 The counts come from map-side combined aggregations by (host, subtree, content), so a hot host is many keys.  Templates whose
 counted rows are few are broadcast to the second pass; more are joined to the pages, each page with a list of
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import SMALL, stored, table
 from .media import flushed
 
-#: Names under which a template recurs at least, their least share of its contents; words of a paragraph that can be one anywhere in an article.
-MIN_NAMES, MIN_VARIETY, SHORT = 10, 0.25, 40
+#: Names under which a template recurs at least, their least share of its contents; words of a paragraph that can be one anywhere in
+#: an article, and the least share of the host's contents that such a one is in.
+MIN_NAMES, MIN_VARIETY, SHORT, MIN_SHARE = 10, 0.25, 40, 0.5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?|[^<]+|<(?![a-zA-Z])|<(?=[a-zA-Z])""", re.S)
 #: The same where a quote is no more than a character: a tag ends at the next >.
@@ -201,7 +203,7 @@ class Page:
                 i += 1
 
     def subtrees(self, part: int) -> dict[int, int]:
-        """Hashes of those elements of a part that have text and can be templates."""
+        """Hashes of those elements of a part that have text and can be templates; those of paragraphs in an article are odd, others even."""
         out, kinds = {}, {}
         stack = [(part, hashlib.blake2b(b"", digest_size=8), [0])]  # node, state, words
         article = part > 0
@@ -231,10 +233,10 @@ class Page:
                 stack.append((i, hashlib.blake2b(tag.encode(), digest_size=8), [0]))
         shut(self.ends[part])
         if not article:
-            return out
+            return {x: digest & ~1 for x, digest in out.items()}
         edge = lambda x: x < texts[0] < self.ends[x] or x < texts[-1] < self.ends[x]
         can = lambda x: self.tags[x] not in INLINE and self.tags[x] not in CONTENT and (self.tags[x] not in PARAGRAPHS or kinds[x] <= SHORT or edge(x))
-        return {x: digest for x, digest in out.items() if can(x)}
+        return {x: digest | 1 if self.tags[x] in PARAGRAPHS else digest & ~1 for x, digest in out.items() if can(x)}
 
     def text(self, parts: list[int]) -> str:
         blocks: list[list[str]] = [[]]
@@ -291,7 +293,7 @@ def _subtrees(batches):
                     text, host = page.text(parts), host_of(url)
                     content = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
                     name = name_of(text)
-                    for digest in found:
+                    for digest in {0, *found}:  # 0 stands for the page
                         yield 40, (host, digest, content, name)
 
     yield from flushed(rows(), schema)
@@ -307,7 +309,10 @@ def site_templates(pages: DataFrame) -> DataFrame:
     several = stored(several, "repeated")
     names = one.join(several, ["host", "subtree"]).select("host", "subtree", "contents", "name").distinct()
     counted = names.groupBy("host", "subtree").agg(F.count("*").alias("names"), F.first("contents").alias("contents"))
-    return stored(counted.filter((F.col("names") >= MIN_NAMES) & (F.col("names") >= MIN_VARIETY * F.col("contents"))).select("host", "subtree"), "templates")
+    counted = counted.filter((F.col("names") >= MIN_NAMES) & (F.col("names") >= MIN_VARIETY * F.col("contents")) & (F.col("subtree") != 0))
+    hosts = several.filter("subtree = 0").select("host", F.col("contents").alias("all_contents"))
+    frequent = (F.col("subtree").bitwiseAND(F.lit(1)) == 0) | (F.col("contents") >= MIN_SHARE * F.col("all_contents"))
+    return stored(counted.join(hosts, "host").filter(frequent).select("host", "subtree"), "templates")
 
 
 def _extracted(held=None):
