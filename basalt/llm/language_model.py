@@ -14,7 +14,8 @@ the same perplexities (tests compare them).
 A document is kept if its perplexity is at most its language's threshold: the QUANTILE of the perplexities of trusted
 documents of the language that were held out of training (every FOLDS-th by hash of the id).  A language with fewer than
 FEW such documents has no tail of its own: its threshold is its median times the same quantile of all held-out
-documents' perplexities over their languages' medians.
+documents' perplexities over their languages' medians.  Where all languages together have fewer than FEW, that
+quantile is at least the prediction limit (Student's t) of a log-normal law with the ratios' deviation.
 
 Defined results: null and empty texts have no perplexity and are kept; a null language is a language
 of its own; a language without held-out trusted text takes the quantile over all languages, and without any
@@ -24,6 +25,9 @@ alike; an empty table gives no rows; other columns are ignored; texts are scored
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +98,8 @@ def train(texts: DataFrame) -> DataFrame:
             lower = every.filter(F.col("k") == k - 1).select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             level = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower, ["lang", "suffix"]).withColumn("p", (c - F.col("d")) / F.col("total") + F.col("left") * F.col("lower"))
             shorter = contexts.select("lang", F.lit(k - 1).alias("k"), F.col("context").alias("gram"), F.col("left").alias("left_new"))
-            every = every.join(shorter, ["lang", "k", "gram"], "left").withColumn("left", F.coalesce("left_new", "left")).drop("left_new")
+            # The context of zeros before a text ends no gram: it is a row without a probability of its own.
+            every = every.join(shorter, ["lang", "k", "gram"], "full").withColumn("left", F.coalesce("left_new", "left")).drop("left_new")
         level = level.select("lang", F.lit(k).alias("k"), "gram", "p", F.lit(None).cast("double").alias("left"))
         if k == 1:
             root = contexts.select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.lit(1 / 256).alias("p"), "left")
@@ -147,8 +152,9 @@ class Lookup:
         for k in range(ORDER, 0, -1):
             mask = np.uint64((1 << 8 * k) - 1)
             at = self.find(self.key(lang[left], np.uint64(k), grams[left] & mask))
-            out[left[at >= 0]] += self.logp[at[at >= 0]]
-            left = left[at < 0]
+            hit = (at >= 0) & ~np.isnan(self.logp[at])
+            out[left[hit]] += self.logp[at[hit]]
+            left = left[~hit]
             context = self.find(self.key(lang[left], np.uint64(k - 1), (grams[left] & mask) >> np.uint64(8)))
             weight = np.where(context >= 0, self.backoff[context], 0)
             out[left] += np.nan_to_num(weight)
@@ -170,7 +176,7 @@ def load(files: list[str]) -> tuple[Lookup, dict[str, int]]:
         parts.append(parquet.ParquetFile(store.open_input_file(place)).read())
     model = pa.concat_tables(parts)
     lang = model["lang"].combine_chunks().dictionary_encode() if len(model) else pa.array([], pa.string()).dictionary_encode()
-    lookup = Lookup(lang.indices.to_numpy(), *(model[c].to_numpy() for c in ("k", "gram", "logp", "backoff")))
+    lookup = Lookup(lang.indices.to_numpy(), *(model[c].to_numpy() for c in ("k", "gram", "logp", "backoff")))  # null is nan
     return lookup, {x: i for i, x in enumerate(lang.dictionary.to_pylist())}
 
 
@@ -215,7 +221,7 @@ def score_sharded(rows: DataFrame, model: DataFrame) -> DataFrame:
     grams = rows.mapInArrow(_distinct, "row long, doc_id long, lang string, gram long, n long").withColumns({"log_p": F.lit(0.0), "open": F.lit(True)})
     for k in range(ORDER, 0, -1):
         mask = (1 << 8 * k) - 1
-        own = model.filter(F.col("k") == k).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), "logp")
+        own = model.filter((F.col("k") == k) & F.col("logp").isNotNull()).select(F.col("lang").alias("_l"), F.col("gram").alias("_g"), "logp")
         above = model.filter(F.col("k") == k - 1).select(F.col("lang").alias("_cl"), F.col("gram").alias("_c"), F.coalesce("backoff", F.lit(0.0)).alias("weight"))
         grams = grams.withColumn("_k", F.when(F.col("open"), F.col("gram").bitwiseAND(F.lit(mask))))
         grams = grams.join(own, (F.col("lang") == F.col("_l")) & (F.col("_k") == F.col("_g")), "left").join(above, (F.col("lang") == F.col("_cl")) & (F.shiftright("_k", 8) == F.col("_c")), "left")
@@ -237,6 +243,12 @@ def score(docs: DataFrame, model: DataFrame, limit: int = SMALL) -> DataFrame:
     return rows.mapInArrow(scorer(sorted(model.inputFiles())), "row long, doc_id long, lang string, n_bytes long, log_p double")
 
 
+def student(q: float, freedom: int) -> float:
+    """The q quantile of Student's t, by its expansion around the normal one."""
+    z = NormalDist().inv_cdf(q)
+    return z + (z**3 + z) / (4 * freedom) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * freedom**2)
+
+
 def quality(docs: DataFrame, trusted: DataFrame, limit: int = SMALL) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, keep of every document; trusted: ids (doc_id)."""
     named = docs.select("doc_id", F.coalesce(F.concat(F.lit("l:"), F.col("lang")), F.lit("none")).alias("lang"), "text")
@@ -248,7 +260,9 @@ def quality(docs: DataFrame, trusted: DataFrame, limit: int = SMALL) -> DataFram
     cut = lambda x, q: F.percentile_approx(x, F.lit(q), F.lit(10000))
     own = stored(test.groupBy("lang").agg(F.count("*").alias("n"), cut("perplexity", 0.5).alias("median"), cut("perplexity", QUANTILE).alias("own")), "limits")
     over = test.join(small(own, 64), "lang").select("perplexity", (F.col("perplexity") / F.col("median")).alias("ratio"))
-    tail, overall = over.agg(cut("ratio", QUANTILE), cut("perplexity", QUANTILE)).first()
+    n, tail, overall, spread = over.agg(F.count("*"), cut("ratio", QUANTILE), cut("perplexity", QUANTILE), F.stddev_samp(F.log("ratio"))).first()
+    if 1 < n < FEW:
+        tail = max(tail, math.exp(student(QUANTILE, n - 1) * spread * math.sqrt(1 + 1 / n)))
     limit = F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.col("median") * F.lit(tail).cast("double"))
     out = scored.join(small(own, 64), "lang", "left").withColumn("threshold", F.coalesce(limit, F.lit(overall).cast("double")))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
