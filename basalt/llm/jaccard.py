@@ -12,7 +12,7 @@ directory entry is a subspace with one value, a box shrunk to a point in these c
 equality and loses no link.  Sizes are cut into classes such that linked sets lie in the same or in
 adjoining classes; D is the class's.
 
-Nodes of common entries are bulk-loaded into leaves (leaves.py).  Two leaves that meet are joined as
+Nodes of common entries that an exact sketch leaves a partner (sketches.py) are bulk-loaded into leaves (leaves.py).  Two leaves that meet are joined as
 R-trees are: box against box, point against box, point against point, each by the summed minima.  What no
 bound rules out is verified by its exact set, leaf by leaf; every link between different texts is found, counted
 for both ends, and closed to components.
@@ -38,6 +38,7 @@ from .components import components
 from .leaves import LINKED, dealt, gathered, linked, meetings
 from .media import flushed
 from .packed import ENTERED, entered, parts_for, shared_keys
+from .sketches import odd_sketch, possible
 from .tokens import MULTIPLIER, SPACED, grams, mix, slices, text_bytes, word_hashes
 
 #: Growth of size classes.
@@ -100,18 +101,19 @@ def node_id(found: np.ndarray) -> int:
 
 
 def _sized(n: int):
-    """(row, doc_id, text) -> row, doc_id, n_shingles, node (null without n-grams) and the node's point."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("point", pa.binary())])
+    """(row, doc_id, text) -> row, doc_id, n_shingles, node (null without n-grams), the node's point and odd sketch."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sizes, nodes, points = [], [], []
+                sizes, nodes, points, sketches = [], [], [], []
                 for found in gram_sets(part.column(2), n):
                     sizes.append(len(found))
                     nodes.append(node_id(found) if len(found) else None)
                     points.append(boxes.point(found).tobytes() if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())], schema=schema)
+                    sketches.append(odd_sketch(found) if len(found) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
 
     return run
 
@@ -181,22 +183,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     Documents link at Jaccard >= num / den."""
     # The hash of id and text stands for a text where texts are read again; what is read is checked by its node.
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    sized = stored(docs.mapInArrow(_sized(n), "row long, doc_id long, n_shingles long, node long, point binary"), "sizes")
-    counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"))
+    sized = stored(docs.mapInArrow(_sized(n), "row long, doc_id long, n_shingles long, node long, point binary, sketch binary"), "sizes")
+    counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"), F.min("sketch").alias("sketch"))
     nodes = stored(counted, "nodes")
     directory = nodes.agg(F.sum(2 * (den - num) * F.col("size") / num + 4)).first()[0] or 0
     parts = parts_for(int(directory), False)
     entries_ = docs.select("text").mapInArrow(entered(parts, _entries(n, num, den)), ENTERED)
     shared = stored(shared_keys(entries_, parts), "shared-keys")
-    members, meet = gathered(shared, nodes.select("node", (8 * F.col("size")).alias("bytes")))
+    near = possible(shared, nodes.select("node", "size", "sketch"), num, den)
+    members, meet = gathered(near, nodes.select("node", (8 * F.col("size")).alias("bytes")))
     points = members.join(nodes, "node").select("node", "leaf", "size", "point")
-    possible = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(num, den), "la long, lb long, side boolean, node long"), "possible")
+    left = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(num, den), "la long, lb long, side boolean, node long"), "left")
     dropped(shared)
-    wanted = stored(possible.select("node").distinct().join(nodes, "node").select("node", "copies", F.col("row").alias("_row")), "wanted")
+    wanted = stored(left.select("node").distinct().join(nodes, "node").select("node", "copies", F.col("row").alias("_row")), "wanted")
     texts = docs.join(small(wanted, 32), F.col("row") == F.col("_row")).select("node", "copies", "text")
     # Repeated rows of one id and text give a set several times.
     sets = stored(texts.mapInArrow(_sets(n), "node long, copies long, grams binary"), "sets").dropDuplicates(["node"])
-    links = stored(dealt(possible.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
+    links = stored(dealt(left.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
     labels = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     partners = links.filter("other IS NULL").groupBy("node").agg(F.sum("weight").alias("partners"))
     rooted = nodes.select("node", "low", "copies").join(partners, "node", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -9,8 +9,7 @@ whose sketch differs from all others there in five standard deviations more plac
 do on average is let go (of pairs at 0.8 about 1 in 100,000).
 
 Keys travel packed (packed.py).  Lines with a long passage in common share keys without being near, and many have it; so the nodes of
-a key are compared by odd sketches: BITS parities of the hashed set, of which two sets differ in no more places than they
-have elements apart, so no link is lost.  What has a possible partner is gathered in leaves (leaves.py), and every two nodes of leaves that
+a key are compared by odd sketches (sketches.py), which lose no link.  What has a possible partner is gathered in leaves (leaves.py), and every two nodes of leaves that
 meet are verified by the exact Jaccard similarity of their shingle sets.  Links
 are closed to components by distributed union-find, and of each component one line stays: the one
 that comes first by (doc_id, line number).  Line texts are read again from the documents, once, for nodes with
@@ -38,6 +37,7 @@ from .components import components
 from .leaves import LINKED, dealt, gathered, linked
 from .media import flushed
 from .packed import ENTERED, entered, parts_for, shared_keys
+from .sketches import BITS, odd_sketch, possible
 from .tokens import MULTIPLIER, mix
 
 SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
@@ -47,12 +47,6 @@ MIN_CHARS = 20
 #: Characters of texts that are hashed at once; hashes whose minima are taken together.
 BLOCK, LANES = 1 << 17, 16
 
-#: Bits of an odd sketch.
-BITS = 1024
-
-#: Nodes of a key that are compared by odd sketches in one task (twice as many, if a key has more).
-KEY_NODES = 4096
-
 #: Odd factors: each permutes the (already mixed) 32-bit hashes.
 FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32) | np.uint32(1)
 
@@ -176,11 +170,6 @@ def line_sets(lines: list[str]):
         at = end
 
 
-def odd_sketch(found: np.ndarray) -> bytes:
-    """The parities of a set's numbers of elements by hash, BITS of them."""
-    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
-
-
 def _lines(batches):
     """Rows (wanted: line_no and node of lines, text) -> node, line, size of its set and its odd sketch."""
     schema = pa.schema([("node", pa.int64()), ("line", pa.string()), ("size", pa.int64()), ("sketch", pa.binary())])
@@ -197,84 +186,6 @@ def _lines(batches):
     yield from flushed(rows(), schema)
 
 
-def group_labels(near: np.ndarray) -> np.ndarray:
-    """For symmetric relations (groups, g, g) the smallest index that each index reaches."""
-    label = np.broadcast_to(np.arange(near.shape[1], dtype=np.int32), near.shape[:2]).copy()
-    while True:
-        low = label.copy()
-        for at in range(0, near.shape[1], 256):  # stripes of large groups
-            part = np.where(near[:, at : at + 256], label[:, None, :], np.int32(near.shape[1])).min(2)
-            low[:, at : at + 256] = np.minimum(low[:, at : at + 256], part)
-        low = np.minimum(low, np.take_along_axis(low, low.astype(np.int64), 1))
-        if (low == label).all():
-            return label
-        label = low
-
-
-def _possible(num: int, den: int):
-    """Rows (key, low, high, side, node, size, sketch, whole), by blocks of a key -> key and node of those with a possible partner.
-
-    Where a block is a whole key, the key is told apart for nodes that no chain of possible partners connects."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
-
-    def tested(rows: pa.Table):
-        key, low, high, side, node, size = (rows.column(i).to_numpy() for i in range(6))
-        sketch = np.frombuffer(b"".join(rows.column(6).to_pylist()), np.uint64).reshape(len(key), -1)
-        whole = rows.column(7).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        counts, keep, named = np.diff(starts, append=len(key)), np.zeros(len(key), bool), key.copy()
-        for g in np.unique(counts[counts > 1]).tolist():
-            at, step = starts[counts == g], (1 << 15) // (g * g) + 1
-            for some in (at[i : i + step] for i in range(0, len(at), step)):
-                places = some[:, None] + np.arange(g)
-                near = np.zeros((len(some), g, g), bool)
-                for part in range(0, g, 256):
-                    mine = places[:, part : part + 256]
-                    apart = sum(np.bitwise_count(sketch[mine, w][:, :, None] ^ sketch[places, w][:, None, :]).astype(np.int32) for w in range(sketch.shape[1]))
-                    close = (num + den) * apart <= (den - num) * (size[mine][:, :, None] + size[places][:, None, :])
-                    close &= node[mine][:, :, None] != node[places][:, None, :]
-                    near[:, part : part + 256] = close & ((low[mine] == high[mine])[:, :, None] | (side[mine][:, :, None] != side[places][:, None, :]))
-                keep[places] |= near.any(2)
-                one = places[whole[some]]
-                if len(one):
-                    label = np.take_along_axis(node[one], group_labels(near[whole[some]]).astype(np.int64), 1)
-                    named[one] = mix((key[one] ^ label).view(np.uint64) * MULTIPLIER + key[one].view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(named[keep]), pa.array(node[keep])], schema=schema)
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []  # rows from the start of a block on
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 14):
-                part = batch.slice(at, 1 << 14)
-                key, low, high = (part.column(i).to_numpy() for i in range(3))
-                ends = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-                last = held and tuple(held[-1].column(i)[-1].as_py() for i in range(3))
-                if held and last != (key[0], low[0], high[0]):
-                    yield tested(pa.Table.from_batches(held))
-                    held = []
-                if len(ends):
-                    yield tested(pa.Table.from_batches([*held, part.slice(0, int(ends[-1]) + 1)]))
-                    held, part = [], part.slice(int(ends[-1]) + 1)
-                held.append(part)
-        if held:
-            yield tested(pa.Table.from_batches(held))
-
-    return run
-
-
-def possible(shared: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """key, node, centre of shared (key, node) for the nodes that the odd sketches leave a partner of their key; what is
-    not connected in a key has another one."""
-    blocks = shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_NODES).cast("int").alias("blocks"))
-    rows = shared.select("key", "node").join(sketches, "node").join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "size", "sketch", (F.col("blocks") == 1).alias("whole"))
-    dealt_ = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    left = stored(dealt_.mapInArrow(_possible(num, den), "key long, node long").distinct(), "possible")
-    centres = left.groupBy("key").agg(F.min("node").alias("centre"))
-    return stored(left.join(centres, "key").select("key", "node", "centre"), "possible-keys")
-
-
 @tidied("removals")
 def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """row (xxhash64 of doc_id and text), gone: the numbers (from 0) of the lines that go, for documents that lose any."""
