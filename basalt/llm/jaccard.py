@@ -158,15 +158,17 @@ def _possible(num: int, den: int):
     schema = pa.schema([("la", pa.int64()), ("lb", pa.int64()), ("side", pa.bool_()), ("node", pa.int64())])
 
     def run(batches):
-        for la, lb, (sides, nodes, sizes, points) in meetings(batches, 4):
-            n = sides.count(False)
-            if la != lb and n in (0, len(sides)):
-                continue
-            points = np.frombuffer(b"".join(points), np.uint16).reshape(len(nodes), -1)
-            left = boxes.joined(points, np.array(sizes, np.int64), None if la == lb else n, num, den)
-            at = np.flatnonzero(left)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([la] * len(at), pa.int64()), pa.array([lb] * len(at), pa.int64()), pa.array([sides[i] for i in at]), pa.array([nodes[i] for i in at], pa.int64())], schema=schema)
+        def rows():
+            for la, lb, (sides, nodes, sizes, points) in meetings(batches, 4):
+                n = sides.count(False)
+                if la != lb and n in (0, len(sides)):
+                    continue
+                points = np.frombuffer(b"".join(points), np.uint16).reshape(len(nodes), -1)
+                left = boxes.joined(points, np.array(sizes, np.int64), None if la == lb else n, num, den)
+                for i in np.flatnonzero(left).tolist():
+                    yield 512, (la, lb, sides[i], nodes[i])
+
+        yield from flushed(rows(), schema)
 
     return run
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Nodes and bytes of a leaf; stars on the way to a large one; elements held by so many nodes of a task at most are paired one by one; columns of a matrix.
-LEAF_NODES, LEAF_BYTES, HOPS, RARE, COLUMNS = 1024, 2 << 20, 3, 6, 2048
+#: Nodes and bytes of a leaf; stars on the way to a large one; elements held by so many nodes of a task at most are paired one by one; columns of a matrix;
+#: sets that are compared pair by pair; results that a task holds.
+LEAF_NODES, LEAF_BYTES, HOPS, RARE, COLUMNS, FEW, FLUSHED = 1024, 2 << 20, 3, 6, 2048, 4, 256
 
 
 def gathered(shared: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,11 +92,15 @@ def meetings(batches, width: int):
 def overlaps(sets: list[np.ndarray], n: int) -> np.ndarray:
     """Sizes of the intersections of the first n sets with the others (with all, if n is their number); sets are sorted and distinct."""
     own = n == len(sets)
-    if len(sets) == 2:
-        a, b = sorted(sets, key=len)
-        at = np.searchsorted(b, a)
-        both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]] if own else [[both]], np.int64)
+    if len(sets) <= FEW:  # pair by pair
+        out = np.zeros((len(sets), len(sets)), np.int64)
+        for i, a in enumerate(sets):
+            out[i, i] = len(a)
+            for j in range(i + 1 if own else max(i + 1, n), len(sets)):
+                b = sets[j]
+                at = np.searchsorted(b, a)
+                out[i, j] = out[j, i] = (b[np.minimum(at, len(b) - 1)] == a).sum() if len(b) else 0
+        return out if own else out[:n, n:]
     all_ = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(all_, kind="stable")
@@ -146,7 +151,11 @@ def linked(decode, num: int, den: int):
     schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("weight", pa.int64())])
 
     def run(batches):
-        def batch(nodes, others, weights):
+        held: list[tuple[list, list, list]] = []
+
+        def flushed():
+            nodes, others, weights = (sum((h[i] for h in held), []) for i in range(3))
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(weights, pa.int64())], schema=schema)
 
         for la, lb, (sides, nodes, copies, data) in meetings(batches, 4):
@@ -171,7 +180,12 @@ def linked(decode, num: int, den: int):
             if len(some):
                 label = forest(square[np.ix_(some, some)])
                 hang = np.flatnonzero(label != np.arange(len(some)))
-                yield batch(nodes[some], [None] * len(some), weight[some])
-                yield batch(nodes[some[hang]], nodes[some[label[hang]]], [None] * len(hang))
+                none = [None] * len(some)
+                held.append((nodes[some].tolist(), none, weight[some].tolist()))
+                held.append((nodes[some[hang]].tolist(), nodes[some[label[hang]]].tolist(), none[: len(hang)]))
+                if len(held) >= FLUSHED:
+                    yield flushed()
+        if held:
+            yield flushed()
 
     return run

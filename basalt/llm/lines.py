@@ -93,15 +93,16 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(columns.sum() * LANES) - np.repeat(cuts * LANES, columns * LANES)
     at[at >= np.repeat(sizes, columns * LANES)] = 0
     x = np.ascontiguousarray((wide[at + np.repeat(starts, columns * LANES)] >> np.uint64(32)).astype(np.uint32).reshape(-1, LANES).T)
-    keys, sketch = np.zeros((len(lines), BANDS), np.uint64), np.zeros(len(lines), np.uint64)
-    y = np.empty_like(x)
+    low, y = np.empty((ROWS * BANDS, len(lines)), np.uint32), np.empty_like(x)
     for i in range(ROWS * BANDS):
         np.multiply(x, FACTORS[i], out=y)
-        low = np.minimum.reduceat(np.minimum.reduce(y, axis=0), cuts)
-        keys[:, i // ROWS] = mix(keys[:, i // ROWS] * MULTIPLIER + low + np.uint64(i + 1))
-        if i < SKETCH:
-            sketch |= (low * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(31)).astype(np.uint64) << np.uint64(i)
-    return keys.view(np.int64), sketch
+        np.minimum.reduceat(np.minimum.reduce(y, axis=0), cuts, out=low[i])
+    keys = np.zeros((BANDS, len(lines)), np.uint64)
+    for row in range(ROWS):
+        keys = mix(keys * MULTIPLIER + low[row::ROWS] + np.arange(row + 1, ROWS * BANDS + 1, ROWS, dtype=np.uint64)[:, None])
+    bits = low[:SKETCH] * np.uint32(MULTIPLIER & np.uint64(0xFFFFFFFF)) >> np.uint32(31)
+    sketch = np.bitwise_or.reduce(bits.astype(np.uint64) << np.arange(SKETCH, dtype=np.uint64)[:, None], axis=0)
+    return np.ascontiguousarray(keys.T).view(np.int64), sketch
 
 
 def most_places(num: int, den: int) -> int:
