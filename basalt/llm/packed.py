@@ -87,6 +87,8 @@ def near_any(sketch: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: i
 
 def groups(all_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted entries without repeats of those keys that several nodes have; where each key starts, and its number of nodes."""
+    if not len(all_):
+        return all_, np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(all_["key"], kind="stable")
     key = all_["key"][order]
     same = key[1:] == key[:-1]
@@ -107,7 +109,7 @@ def _shared(sketched: bool, most: int):
 
     def done(held: list[bytes]):
         some, starts, counts = groups(np.frombuffer(b"".join(held), entry(sketched)))
-        if sketched and len(some):
+        if sketched:
             some, starts, counts = groups(some[near_any(some["sketch"], starts, counts, most)])
         centres = np.repeat(some["node"][starts], counts)
         return pa.RecordBatch.from_arrays([pa.array(some["key"].view(np.int64) if len(some) else [], pa.int64()), pa.array(np.ascontiguousarray(some["node"])), pa.array(centres)], schema=schema)

@@ -263,6 +263,9 @@ def test_packed_groups():
     some, starts, counts = packed.groups(all_)
     assert list(some["node"]) == [4, 6, 9] and list(starts) == [0] and list(counts) == [3]
     assert list(packed.near_any(some["sketch"], starts, counts, 10)) == [True, True, False]
+    for few in (all_[:0], all_[:1], all_[[0, 2]]):
+        some, starts, counts = packed.groups(few)
+        assert len(some) == len(starts) == len(counts) == 0 == len(packed.near_any(some["sketch"], starts, counts, 10))
 
 
 def test_decontamination(spark, docs):
