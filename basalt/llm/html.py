@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import html as references
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -271,8 +272,8 @@ def extract(html: str | None, templates=frozenset()) -> str:
 
 def name_of(text: str) -> int:
     """The smallest hash of the text's word triples (of fewer words, all of them)."""
-    words = text.split()
-    return min((int.from_bytes(hashlib.blake2b(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for i in range(max(1, len(words) - 2))))
+    words = text.encode("utf-8", "surrogatepass").split()
+    return min(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
 
 
 def host_of(url: str | None) -> str:
