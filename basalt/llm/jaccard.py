@@ -13,7 +13,8 @@ equality and loses no link.  Sizes are cut into classes such that linked sets li
 adjoining classes; D is the class's.
 
 Nodes of common entries that an exact sketch leaves a partner (sketches.py) are bulk-loaded into leaves (leaves.py).  Two leaves that meet are joined as
-R-trees are: box against box, point against box, point against point, each by the summed minima.  What no
+R-trees are: box against box, point against box, point against point, each by the summed minima.  Counts of few groups say little
+about very long sets; those left are compared by wide sketches before sets travel.  What no
 bound rules out is verified by its exact set, leaf by leaf; every link between different texts is found, counted
 for both ends, and closed to components.
 
@@ -38,7 +39,7 @@ from .components import components
 from .leaves import LINKED, dealt, gathered, linked, meetings
 from .media import flushed
 from .packed import ENTERED, entered, parts_for, shared_keys
-from .sketches import odd_sketch, possible
+from .sketches import near_partners, odd_sketch, possible, wide_sketch
 from .tokens import MULTIPLIER, SPACED, grams, mix, slices, text_bytes, word_hashes
 
 #: Growth of size classes.
@@ -137,8 +138,8 @@ def _entries(n: int, num: int, den: int):
 
 
 def _sets(n: int):
-    """(node, copies, text) -> node, copies and the set, where the text is the node's."""
-    schema = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("grams", pa.binary())])
+    """(node, copies, text) -> node, copies, size, wide sketch and the set, where the text is the node's."""
+    schema = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary())])
 
     def run(batches):
         def rows():
@@ -146,25 +147,25 @@ def _sets(n: int):
                 for part in slices(batch):
                     for node, copies, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), gram_sets(part.column(2), n)):
                         if len(found) and node_id(found) == node:
-                            yield 8 * len(found), (node, copies, found.tobytes())
+                            yield 9 * len(found), (node, copies, len(found), wide_sketch(found), found.tobytes())
 
         yield from flushed(rows(), schema)
 
     return run
 
 
-def _possible(num: int, den: int):
-    """Dealt rows (la, lb, side, node, size, point) -> la, lb, side, node of the nodes that the bounds leave a possible partner."""
+def _possible(test):
+    """Dealt rows (la, lb, side, node, size, data) -> la, lb, side, node of the nodes that have a possible partner by
+    test(data, sizes, number of la's nodes or None within a leaf)."""
     schema = pa.schema([("la", pa.int64()), ("lb", pa.int64()), ("side", pa.bool_()), ("node", pa.int64())])
 
     def run(batches):
         def rows():
-            for la, lb, (sides, nodes, sizes, points) in meetings(batches, 4):
+            for la, lb, (sides, nodes, sizes, data) in meetings(batches, 4):
                 n = sides.count(False)
                 if la != lb and n in (0, len(sides)):
                     continue
-                points = np.frombuffer(b"".join(points), np.uint16).reshape(len(nodes), -1)
-                left = boxes.joined(points, np.array(sizes, np.int64), None if la == lb else n, num, den)
+                left = test(data, np.array(sizes, np.int64), None if la == lb else n)
                 for i in np.flatnonzero(left).tolist():
                     yield 512, (la, lb, sides[i], nodes[i])
 
@@ -173,6 +174,14 @@ def _possible(num: int, den: int):
     return run
 
 
+def _boxed(num: int, den: int):
+    return lambda data, sizes, n: boxes.joined(np.frombuffer(b"".join(data), np.uint16).reshape(len(data), -1), sizes, n, num, den)
+
+
+def _sketched(num: int, den: int):
+    return lambda data, sizes, n: near_partners(data, sizes, n, num, den)
+
+
 def _decoded(data: list[bytes]):
     return (np.frombuffer(x, np.uint64) for x in data)
 
@@ -195,13 +204,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     near = possible(shared, nodes.select("node", "size", "sketch"), num, den)
     members, meet = gathered(near, nodes.select("node", (8 * F.col("size")).alias("bytes")))
     points = members.join(nodes, "node").select("node", "leaf", "size", "point")
-    left = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(num, den), "la long, lb long, side boolean, node long"), "left")
+    place = "la long, lb long, side boolean, node long"
+    left = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(_boxed(num, den)), place), "left")
     dropped(shared)
     wanted = stored(left.select("node").distinct().join(nodes, "node").select("node", "copies", F.col("row").alias("_row")), "wanted")
     texts = docs.join(small(wanted, 32), F.col("row") == F.col("_row")).select("node", "copies", "text")
     # Repeated rows of one id and text give a set several times.
-    sets = stored(texts.mapInArrow(_sets(n), "node long, copies long, grams binary"), "sets").dropDuplicates(["node"])
-    links = stored(dealt(left.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
+    sets = stored(texts.mapInArrow(_sets(n), "node long, copies long, size long, sketch binary, grams binary"), "sets")
+    sketches = sets.select("node", "size", "sketch").dropDuplicates(["node"])
+    near = stored(dealt(left.join(sketches, "node").select("la", "lb", "side", "node", "size", "sketch")).mapInArrow(_possible(_sketched(num, den)), place), "near")
+    sets = sets.select("node", "copies", "grams").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    links = stored(dealt(near.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
     labels = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     partners = links.filter("other IS NULL").groupBy("node").agg(F.sum("weight").alias("partners"))
     rooted = nodes.select("node", "low", "copies").join(partners, "node", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

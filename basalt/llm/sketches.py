@@ -20,9 +20,38 @@ from .tokens import MULTIPLIER, mix
 BITS, KEY_NODES = 1024, 4096
 
 
-def odd_sketch(found: np.ndarray) -> bytes:
-    """The parities of a set's numbers of elements by hash, BITS of them."""
-    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes()
+def odd_sketch(found: np.ndarray, bits: int = BITS) -> bytes:
+    """The parities of a set's numbers of elements by hash; bits is a power of two."""
+    return np.packbits(np.bincount((found >> np.uint64(32)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide_sketch(found: np.ndarray) -> bytes:
+    """A sketch of two bits an element at least: it tells apart sets of any size, at a 32nd of their bytes or a 16th."""
+    return odd_sketch(found, max(BITS, 1 << (2 * len(found) - 1).bit_length()))
+
+
+def near_partners(sketches: list[bytes], sizes: np.ndarray, n: int | None, num: int, den: int) -> np.ndarray:
+    """Which wide sketches leave their set a partner: the first n against the others, or (n is None) all against all.
+
+    Sets that link are in equal or neighbouring widths; the wider sketch is folded."""
+    words = [np.frombuffer(x, np.uint64) for x in sketches]
+    width, left = np.array([len(w) for w in words]), np.zeros(len(words), bool)
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero((width == w) | (width == 2 * w))
+        m = np.stack([words[i] if width[i] == w else words[i][:w] ^ words[i][w:] for i in some])
+        exact, size, first = width[some] == w, sizes[some], some < (0 if n is None else n)
+        step = max(1, (1 << 20) // m.size)
+        for at in range(0, len(some), step):
+            mine = slice(at, at + step)
+            apart = np.bitwise_count(m[mine, None] ^ m[None]).sum(2, dtype=np.int64)
+            close = (num + den) * apart <= (den - num) * (size[mine, None] + size[None])
+            close &= exact[mine, None] | exact[None]
+            close &= some[mine, None] != some[None]
+            if n is not None:
+                close &= first[mine, None] != first[None]
+            left[some[mine]] |= close.any(1)
+            left[some] |= close.any(0)
+    return left
 
 
 def group_labels(near: np.ndarray) -> np.ndarray:

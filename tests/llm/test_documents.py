@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import boxes, decontamination, jaccard, language_model, leaves, lines, media, mixing, packed, tokencount, tokens, toxicity
+from basalt.llm import boxes, decontamination, jaccard, language_model, leaves, lines, media, mixing, packed, sketches, tokencount, tokens, toxicity
 from basalt.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a int, node string, size int, root string"
@@ -258,6 +258,25 @@ def test_line_dedup_of_a_large_family(spark, monkeypatch):
     assert sorted(r.doc_id for r in got if r.n_kept) == [0]
 
 
+def test_wide_sketches_lose_no_link():
+    """Sets from a few to thousands of elements, also across the width at which a sketch doubles."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (3, 40, 500, 512, 520, 1020, 1030, 4000):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0, 0.03, 0.09, 0.3):
+            k = int(len(base) * share)
+            sets.append(np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])))
+        sets.append(np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)))
+    size, wide = np.array([len(x) for x in sets]), [sketches.wide_sketch(x) for x in sets]
+    link = np.array([[i != j and 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    left = sketches.near_partners(wide, size, None, 8, 10)
+    assert left[link.any(1)].all() and not left[4::5][2:].any()
+    cross = np.arange(len(sets)) < 13
+    left = sketches.near_partners(wide, size, 13, 8, 10)
+    assert left[(link & (cross[:, None] != cross[None])).any(1)].all()
+
+
 def test_packed_groups():
     all_ = np.array([(1, 5, 0), (2, 5, 0), (1, 5, 0), (3, 6, 7), (3, 4, 7), (3, 9, (1 << 64) - 1), (9, 1, 0)], packed.entry(True))
     some, starts, counts = packed.groups(all_)
