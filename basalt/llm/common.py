@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +127,26 @@ def tidied(name: str):
     return around
 
 
+def trimmed() -> None:
+    """Gives memory that this process has freed back to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # of the GNU C library only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, a function for mapInArrow, that trims its worker when a task ends: Spark reuses workers for all tasks of all
+    stages, and an executor would hold the largest task of each beside its heap."""
+
+    def worker(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return worker
+
+
 #: Bytes up to which a counted table is broadcast.
 SMALL = 32 << 20
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boxes
-from .common import dropped, small, stored, table, tidied
+from .common import dropped, lean, small, stored, table, tidied
 from .components import components
 from .leaves import LINKED, dealt, gathered, linked, meetings
 from .media import flushed
@@ -194,27 +194,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     Documents link at Jaccard >= num / den."""
     # The hash of id and text stands for a text where texts are read again; what is read is checked by its node.
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    sized = stored(docs.mapInArrow(_sized(n), "row long, doc_id long, n_shingles long, node long, point binary, sketch binary"), "sizes")
+    sized = stored(docs.mapInArrow(lean(_sized(n)), "row long, doc_id long, n_shingles long, node long, point binary, sketch binary"), "sizes")
     counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"), F.min("sketch").alias("sketch"))
     nodes = stored(counted, "nodes")
     directory = nodes.agg(F.sum(2 * (den - num) * F.col("size") / num + 4)).first()[0] or 0
     parts = parts_for(int(directory), False)
-    entries_ = docs.select("text").mapInArrow(entered(parts, _entries(n, num, den)), ENTERED)
+    entries_ = docs.select("text").mapInArrow(lean(entered(parts, _entries(n, num, den))), ENTERED)
     shared = stored(shared_keys(entries_, parts), "shared-keys")
     near = possible(shared, nodes.select("node", "size", "sketch"), num, den)
     members, meet = gathered(near, nodes.select("node", (8 * F.col("size")).alias("bytes")))
     points = members.join(nodes, "node").select("node", "leaf", "size", "point")
     place = "la long, lb long, side boolean, node long"
-    left = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(_possible(_boxed(num, den)), place), "left")
+    left = stored(dealt(points.join(meet, "leaf").select("la", "lb", "side", "node", "size", "point")).mapInArrow(lean(_possible(_boxed(num, den))), place), "left")
     dropped(shared)
     wanted = stored(left.select("node").distinct().join(nodes, "node").select("node", "copies", F.col("row").alias("_row")), "wanted")
     texts = docs.join(small(wanted, 32), F.col("row") == F.col("_row")).select("node", "copies", "text")
     # Repeated rows of one id and text give a set several times.
-    sets = stored(texts.mapInArrow(_sets(n), "node long, copies long, size long, sketch binary, grams binary"), "sets")
+    sets = stored(texts.mapInArrow(lean(_sets(n)), "node long, copies long, size long, sketch binary, grams binary"), "sets")
     sketches = sets.select("node", "size", "sketch").dropDuplicates(["node"])
-    near = stored(dealt(left.join(sketches, "node").select("la", "lb", "side", "node", "size", "sketch")).mapInArrow(_possible(_sketched(num, den)), place), "near")
+    near = stored(dealt(left.join(sketches, "node").select("la", "lb", "side", "node", "size", "sketch")).mapInArrow(lean(_possible(_sketched(num, den))), place), "near")
     sets = sets.select("node", "copies", "grams").join(near.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    links = stored(dealt(near.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(linked(_decoded, num, den), LINKED), "links")
+    links = stored(dealt(near.join(sets, "node").select("la", "lb", "side", "node", "copies", "grams")).mapInArrow(lean(linked(_decoded, num, den)), LINKED), "links")
     labels = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     partners = links.filter("other IS NULL").groupBy("node").agg(F.sum("weight").alias("partners"))
     rooted = nodes.select("node", "low", "copies").join(partners, "node", "left").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))

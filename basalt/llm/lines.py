@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, small, small_lists, stored, table, tidied
+from .common import dropped, lean, small, small_lists, stored, table, tidied
 from .components import components
 from .leaves import LINKED, dealt, gathered, linked
 from .media import flushed
@@ -191,22 +191,22 @@ def _lines(batches):
 def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_CHARS) -> DataFrame:
     """row (xxhash64 of doc_id and text), gone: the numbers (from 0) of the lines that go, for documents that lose any."""
     known = docs.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    places = stored(known.mapInArrow(_placed(min_chars), "row long, doc_id long, line_no int, node long, n int"), "places")
+    places = stored(known.mapInArrow(lean(_placed(min_chars)), "row long, doc_id long, line_no int, node long, n int"), "places")
     parts = parts_for(places.filter(F.col("n") >= SHINGLE).count() * BANDS, True)
-    entries = known.select("text").mapInArrow(entered(parts, _entries(min_chars)), ENTERED)
+    entries = known.select("text").mapInArrow(lean(entered(parts, _entries(min_chars))), ENTERED)
     shared = stored(shared_keys(entries, parts, most_places(num, den)), "shared-keys")
     first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"))
     nodes = stored(first.select("node", "f.doc_id", "f.row", "f.line_no", "copies", "n"), "line-nodes")
     wanted = shared.select("node").distinct().join(nodes, "node").groupBy("row").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
     # A document's list holds lines of its own only; repeated rows give a line several times.
     texts = known.join(stored(wanted, "wanted").withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("wanted", "text")
-    lines = stored(texts.mapInArrow(_lines, "node long, line string, size long, sketch binary"), "lines")
+    lines = stored(texts.mapInArrow(lean(_lines), "node long, line string, size long, sketch binary"), "lines")
     near = possible(shared, lines.select("node", "size", "sketch").dropDuplicates(["node"]), num, den)
     dropped(shared)
     members, meet = gathered(near, nodes.select("node", (8 * F.col("n")).alias("bytes")))
     texts = members.join(lines.select("node", "line"), "node").dropDuplicates(["node"])
     rows = texts.join(meet, "leaf").select("la", "lb", "side", "node", F.lit(1).cast("long").alias("copies"), "line")
-    links = stored(dealt(rows).mapInArrow(linked(line_sets, num, den), LINKED).filter("other IS NOT NULL"), "links")
+    links = stored(dealt(rows).mapInArrow(lean(linked(line_sets, num, den)), LINKED).filter("other IS NOT NULL"), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     rooted = nodes.join(labels, "node", "left").select("node", F.struct("doc_id", "row", "line_no").alias("f"), "copies", F.coalesce("root", "node").alias("root"))
     # Components of one line that occurs once decide nothing.

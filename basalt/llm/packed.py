@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Bytes of a part, on average; entries held before they are written; nodes that a task remembers; largest group whose pairs are all tested by sketch.
 PART, HELD, SEEN, TESTED = 2 << 20, 1 << 18, 1 << 18, 48
 
@@ -136,4 +138,4 @@ def shared_keys(entries: DataFrame, parts: int, most: int | None = None) -> Data
     that is near no other of its key is left out, unless the key has more than TESTED nodes."""
     tasks = max(1, parts // 4)
     dealt = entries.repartition(tasks, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_shared(most is not None, most or 0), "key long, node long, centre long")
+    return dealt.mapInArrow(lean(_shared(most is not None, most or 0)), "key long, node long, centre long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 from .tokens import MULTIPLIER, mix
 
 #: Bits of a sketch; nodes of a key that are compared in one task (twice as many, if a key has more).
@@ -127,6 +127,6 @@ def possible(shared: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "size", "sketch", (F.col("blocks") == 1).alias("whole"))
     dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    left = stored(dealt.mapInArrow(_possible(num, den), "key long, node long").distinct(), "possible")
+    left = stored(dealt.mapInArrow(lean(_possible(num, den)), "key long, node long").distinct(), "possible")
     centres = left.groupBy("key").agg(F.min("node").alias("centre"))
     return stored(left.join(centres, "key").select("key", "node", "centre"), "possible-keys")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import lean, table
 from .tokens import ALNUM, MULTIPLIER, grams, mix, text_bytes, word_hashes
 
 BITS = 20
@@ -114,11 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     # TRAIN_ROWS pairs at most, whatever the input: fit to broadcast.
     chosen = known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
-    found = texts.mapInArrow(_featured, "order long, label int, features binary")
+    found = texts.mapInArrow(lean(_featured), "order long, label int, features binary")
     # TRAIN_ROWS rows at most: one task holds them, and no more than TRAIN_BYTES of features.
     before = Window.orderBy("order", "features", "label").rowsBetween(Window.unboundedPreceding, 0)
     found = found.repartition(1).withColumn("bytes", F.sum(F.length("features")).over(before)).filter(F.col("bytes") <= TRAIN_BYTES).select("order", "label", "features")
-    model = found.sortWithinPartitions("order", "features", "label").mapInArrow(_trained, "bucket int, weight double").toPandas()
+    model = found.sortWithinPartitions("order", "features", "label").mapInArrow(lean(_trained), "bucket int, weight double").toPandas()
     return model["bucket"].to_numpy(np.int32), model["weight"].to_numpy(np.float64)
 
 

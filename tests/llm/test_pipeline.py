@@ -2,6 +2,10 @@
 
 import random
 import re
+import subprocess
+import sys
+
+import pytest
 
 import corpus_pipeline
 from basalt.llm import lines
@@ -100,3 +104,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+HELD = """
+import psutil
+from basalt.llm import packed
+run, size = %s, psutil.Process().memory_info
+before = size().rss
+pin = []
+def made(batches):
+    held = [bytes(90000) + b"x" for _ in range(3000)]
+    pin.append(bytes(90000) + b"y")  # what lies behind keeps the freed memory from the top of the heap
+    yield len(held)
+list(run(made)(iter([])))
+print((size().rss - before) >> 20)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="memory is given back by the GNU C library")
+def test_workers_give_memory_back():
+    """What a task has freed does not stay with the worker that the next stages use again."""
+    grown = lambda run: int(subprocess.run([sys.executable, "-c", HELD % run], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0]).stdout)
+    assert grown("lambda f: f") > 150
+    assert grown("packed.lean") < 60
