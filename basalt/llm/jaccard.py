@@ -14,7 +14,7 @@ adjoining classes; D is the class's.
 
 Nodes of common entries that an exact sketch leaves a partner (sketches.py) are bulk-loaded into leaves (leaves.py).  Two leaves that meet are joined as
 R-trees are: box against box, point against box, point against point, each by the summed minima.  Counts of few groups say little
-about very long sets; those left are compared by wide sketches before sets travel.  What no
+about very long sets; those are compared by wide sketches, in each key before they are gathered and again before sets travel.  What no
 bound rules out is verified by its exact set, leaf by leaf; every link between different texts is found, counted
 for both ends, and closed to components.
 
@@ -39,7 +39,7 @@ from .components import components
 from .leaves import LINKED, dealt, gathered, linked, meetings
 from .media import flushed
 from .packed import ENTERED, entered, parts_for, shared_keys
-from .sketches import near_partners, odd_sketch, possible, wide_sketch
+from .sketches import BITS, near_partners, odd_sketch, possible, wide_sketch
 from .tokens import MULTIPLIER, SPACED, grams, mix, slices, text_bytes, word_hashes
 
 #: Growth of size classes.
@@ -102,19 +102,20 @@ def node_id(found: np.ndarray) -> int:
 
 
 def _sized(n: int):
-    """(row, doc_id, text) -> row, doc_id, n_shingles, node (null without n-grams), the node's point and odd sketch."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary())])
+    """(row, doc_id, text) -> row, doc_id, n_shingles, node (null without n-grams), the node's point, odd sketch and (if it is wider) wide sketch."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("sketch", pa.binary()), ("wide", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                sizes, nodes, points, sketches = [], [], [], []
+                sizes, nodes, points, sketches, wides = [], [], [], [], []
                 for found in gram_sets(part.column(2), n):
                     sizes.append(len(found))
                     nodes.append(node_id(found) if len(found) else None)
                     points.append(boxes.point(found).tobytes() if len(found) else None)
                     sketches.append(odd_sketch(found) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
+                    wides.append(wide_sketch(found) if 2 * len(found) > BITS else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), pa.array(sketches, pa.binary()), pa.array(wides, pa.binary())], schema=schema)
 
     return run
 
@@ -194,14 +195,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10)
     Documents link at Jaccard >= num / den."""
     # The hash of id and text stands for a text where texts are read again; what is read is checked by its node.
     docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    sized = stored(docs.mapInArrow(lean(_sized(n)), "row long, doc_id long, n_shingles long, node long, point binary, sketch binary"), "sizes")
-    counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"), F.min("sketch").alias("sketch"))
+    sized = stored(docs.mapInArrow(lean(_sized(n)), "row long, doc_id long, n_shingles long, node long, point binary, sketch binary, wide binary"), "sizes")
+    counted = sized.filter("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.min("point").alias("point"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"))
     nodes = stored(counted, "nodes")
     directory = nodes.agg(F.sum(2 * (den - num) * F.col("size") / num + 4)).first()[0] or 0
     parts = parts_for(int(directory), False)
     entries_ = docs.select("text").mapInArrow(lean(entered(parts, _entries(n, num, den))), ENTERED)
     shared = stored(shared_keys(entries_, parts), "shared-keys")
-    near = possible(shared, nodes.select("node", "size", "sketch"), num, den)
+    near = possible(shared, nodes.select("node", "size", "sketch"), num, den, nodes.select("node", "size", F.coalesce("wide", "sketch").alias("sketch")))
     members, meet = gathered(near, nodes.select("node", (8 * F.col("size")).alias("bytes")))
     points = members.join(nodes, "node").select("node", "leaf", "size", "point")
     place = "la long, lb long, side boolean, node long"

@@ -119,14 +119,55 @@ def _possible(num: int, den: int):
     return run
 
 
-def possible(shared: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """key, node, centre of shared (key, node) for the nodes that the odd sketches leave a partner of their key; what is
-    not connected in a key has another one."""
+def _wide(num: int, den: int):
+    """The same rows with wide sketches -> key and node of those that these leave a partner in a block."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def tested(block: tuple[int, int, int], rows: list[tuple]):
+        rows.sort(key=lambda x: x[0] != block[1])
+        sides, nodes, sizes, sketches = zip(*rows)
+        n = None if block[1] == block[2] else sides.count(block[1])
+        left = np.flatnonzero(near_partners(sketches, np.array(sizes, np.int64), n, num, den))
+        return [(block[0], nodes[i]) for i in left.tolist()]
+
+    def run(batches):
+        now, held = None, []
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], schema=schema)
+
+        for batch in batches:
+            found = []
+            for key, low, high, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (key, low, high) != now:
+                    if len(held) > 1:
+                        found += tested(now, held)
+                    now, held = (key, low, high), []
+                held.append(row)
+            if found:
+                yield batch_of(found)
+        if len(held) > 1:
+            yield batch_of(tested(now, held))
+
+    return run
+
+
+def _dealt(shared: DataFrame, sketches: DataFrame) -> DataFrame:
+    """key, low, high, side, node, size, sketch, whole: the nodes of each key by pairs of its blocks."""
     blocks = shared.groupBy("key").agg(F.ceil(F.count("*") / KEY_NODES).cast("int").alias("blocks"))
     rows = shared.select("key", "node").join(sketches, "node").join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "size", "sketch", (F.col("blocks") == 1).alias("whole"))
-    dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    left = stored(dealt.mapInArrow(lean(_possible(num, den)), "key long, node long").distinct(), "possible")
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def possible(shared: DataFrame, sketches: DataFrame, num: int, den: int, wide: DataFrame | None = None) -> DataFrame:
+    """key, node, centre of shared (key, node) for the nodes that the odd sketches leave a partner of their key; what is
+    not connected in a key has another one.
+
+    wide: node, size and wide sketch, which then tell apart in each key the large sets that BITS bits can't."""
+    left = stored(_dealt(shared, sketches).mapInArrow(lean(_possible(num, den)), "key long, node long").distinct(), "possible")
+    if wide is not None:
+        left = stored(_dealt(left, wide).mapInArrow(lean(_wide(num, den)), "key long, node long").distinct(), "possible-wide")
     centres = left.groupBy("key").agg(F.min("node").alias("centre"))
     return stored(left.join(centres, "key").select("key", "node", "centre"), "possible-keys")

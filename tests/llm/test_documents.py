@@ -258,6 +258,24 @@ def test_line_dedup_of_a_large_family(spark, monkeypatch):
     assert sorted(r.doc_id for r in got if r.n_kept) == [0]
 
 
+def test_wide_sketches_tell_long_sets_of_a_key_apart(spark, monkeypatch):
+    """Long sets that share a passage and no more are let go before they are gathered, in one block or several; links stay."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    passage = draw(1000)
+    sets = [np.concatenate([passage, draw(7000 + 10 * i)]) for i in range(40)]
+    sets += [np.concatenate([sets[3][:7300], draw(600)]), sets[5][: 7 * len(sets[5]) // 8]]
+    shared = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(len(sets))], "key long, node long")
+    table = lambda sketch: spark.createDataFrame([(i, len(x), bytearray(sketch(x))) for i, x in enumerate(sets)], "node long, size long, sketch binary")
+    odd, wide = table(sketches.odd_sketch), table(sketches.wide_sketch)
+    assert len({r.node for r in sketches.possible(shared, odd, 8, 10).collect()}) == 42
+    for nodes in (4096, 10):
+        monkeypatch.setattr(sketches, "KEY_NODES", nodes)
+        rows = sketches.possible(shared, odd, 8, 10, wide).collect()
+        assert sorted(r.node for r in rows) == [3, 3, 5, 5, 40, 40, 41, 41]
+        assert {r.centre for r in rows} == {3}
+
+
 def test_wide_sketches_lose_no_link():
     """Sets from a few to thousands of elements, also across the width at which a sketch doubles."""
     rng = np.random.default_rng(5)
