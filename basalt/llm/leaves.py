@@ -16,6 +16,8 @@ A leaf's id is a hash of its star and part; if two leaves had one id they would
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Nodes and bytes of a leaf; stars on the way to a large one; elements held by so many nodes of a task at most are paired one by one; columns of a matrix;
-#: sets that are compared pair by pair; results that a task holds.
-LEAF_NODES, LEAF_BYTES, HOPS, RARE, COLUMNS, FEW, FLUSHED = 1024, 2 << 20, 3, 6, 2048, 4, 256
+#: sets that are compared pair by pair; results that a task holds; data that is decoded at once (a meeting's at least).
+LEAF_NODES, LEAF_BYTES, HOPS, RARE, COLUMNS, FEW, FLUSHED, POOL = 1024, 2 << 20, 3, 6, 2048, 4, 256, 1 << 16
 
 
 def gathered(shared: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,6 +91,20 @@ def meetings(batches, width: int):
         yield *now, held
 
 
+def pooled(found):
+    """Lists of such meetings (data in the last column) with two sides each, of POOL data at least."""
+    held, size = [], 0
+    for la, lb, columns in found:
+        if la == lb or columns[0].count(False) not in (0, len(columns[0])):
+            held.append((la, lb, columns))
+            size += sum(map(len, columns[-1]))
+            if size >= POOL:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def overlaps(sets: list[np.ndarray], n: int) -> np.ndarray:
     """Sizes of the intersections of the first n sets with the others (with all, if n is their number); sets are sorted and distinct."""
     own = n == len(sets)
@@ -158,11 +174,14 @@ def linked(decode, num: int, den: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(weights, pa.int64())], schema=schema)
 
-        for la, lb, (sides, nodes, copies, data) in meetings(batches, 4):
+        def decoded():
+            for some in pooled(meetings(batches, 4)):
+                sets = iter(decode([x for *_, columns in some for x in columns[-1]]))
+                for la, lb, (sides, nodes, copies, _) in some:
+                    yield la, lb, sides, nodes, copies, list(itertools.islice(sets, len(sides)))
+
+        for la, lb, sides, nodes, copies, sets in decoded():
             n = sides.count(False)
-            if la != lb and n in (0, len(sides)):
-                continue
-            sets = list(decode(data))
             size = np.array([len(s) for s in sets])
             both = overlaps(sets, n)
             a, b = size[:n], size if la == lb else size[n:]

@@ -25,6 +25,7 @@ no rows; other columns pass through ``dedup`` untouched.  Node ids are 64 bits o
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -37,15 +38,15 @@ from .components import components
 from .leaves import LINKED, dealt, gathered, linked
 from .media import flushed
 from .packed import ENTERED, entered, parts_for, shared_keys
-from .sketches import BITS, odd_sketch, possible
+from .sketches import BITS, TOGETHER, odd_sketches, possible
 from .tokens import MULTIPLIER, mix
 
 SHINGLE, ROWS, BANDS, SKETCH = 5, 5, 14, 64
 #: What dedup takes as min_chars if nothing is given.
 MIN_CHARS = 20
 
-#: Characters of texts that are hashed at once; hashes whose minima are taken together.
-BLOCK, LANES = 1 << 17, 16
+#: Characters of texts that are hashed at once (their hashes stay in a core's cache); hashes whose minima are taken together.
+BLOCK, LANES = 1 << 16, 16
 
 #: Odd factors: each permutes the (already mixed) 32-bit hashes.
 FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * MULTIPLIER).astype(np.uint32) | np.uint32(1)
@@ -153,8 +154,16 @@ def _entries(min_chars: int):
     return found
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, without what it costs beyond a sort (several times the sort, for a line)."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def line_set(line: str) -> np.ndarray:
-    return np.unique(shingles(code_points(line))[: len(line) - SHINGLE + 1])
+    return distinct(shingles(code_points(line))[: max(len(line) - SHINGLE + 1, 0)])
 
 
 def line_sets(lines: list[str]):
@@ -167,22 +176,34 @@ def line_sets(lines: list[str]):
             end += 1
         wide, starts, sizes = wide_shingles(lines[at:end])
         for a, n in zip(starts.tolist(), sizes.tolist()):
-            yield np.unique(wide[a : a + n])
+            yield distinct(wide[a : a + max(n, 0)])
         at = end
 
 
 def _lines(batches):
-    """Rows (wanted: line_no and node of lines, text) -> node, line, size of its set and its odd sketch."""
-    schema = pa.schema([("node", pa.int64()), ("line", pa.string()), ("size", pa.int64()), ("sketch", pa.binary())])
+    """Rows (wanted: line_no and node of lines, text) -> node, line, its characters, size of its set and its odd sketch."""
+    schema = pa.schema([("node", pa.int64()), ("line", pa.string()), ("n", pa.int32()), ("size", pa.int64()), ("sketch", pa.binary())])
+
+    def described(found: list[tuple[int, str]]):
+        sets = line_sets([line for _, line in found])
+        for some in itertools.batched(found, TOGETHER):
+            members = list(itertools.islice(sets, len(some)))
+            for (node, line), own, sketch in zip(some, members, odd_sketches(members)):
+                yield len(line) + BITS // 8, (node, line, len(line), len(own), sketch)
 
     def rows():
+        found, size = [], 0
         for batch in batches:
             for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 lines = (text.as_py() or "").split("\n")
-                found = [(w["node"], lines[w["line_no"]].strip()) for w in wanted if w["line_no"] < len(lines)]
-                found = [(node, line) for node, line in found if line_id(line) == node]
-                for (node, line), members in zip(found, line_sets([line for _, line in found])):
-                    yield len(line) + BITS // 8, (node, line, len(members), odd_sketch(members))
+                own = [(w["node"], lines[w["line_no"]].strip()) for w in wanted if w["line_no"] < len(lines)]
+                own = [(node, line) for node, line in own if line_id(line) == node]
+                found += own
+                size += sum(len(line) for _, line in own)
+                if size >= BLOCK:
+                    yield from described(found)
+                    found, size = [], 0
+        yield from described(found)
 
     yield from flushed(rows(), schema)
 
@@ -194,24 +215,27 @@ def removals(docs: DataFrame, num: int = 8, den: int = 10, min_chars: int = MIN_
     places = stored(known.mapInArrow(lean(_placed(min_chars)), "row long, doc_id long, line_no int, node long, n int"), "places")
     parts = parts_for(places.filter(F.col("n") >= SHINGLE).count() * BANDS, True)
     entries = known.select("text").mapInArrow(lean(entered(parts, _entries(min_chars))), ENTERED)
-    shared = stored(shared_keys(entries, parts, most_places(num, den)), "shared-keys")
-    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    nodes = stored(first.select("node", "f.doc_id", "f.row", "f.line_no", "copies", "n"), "line-nodes")
-    wanted = shared.select("node").distinct().join(nodes, "node").groupBy("row").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
+    shared = stored(shared_keys(entries, parts, most_places(num, den), True), "shared-keys")
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("f"), F.count("*").alias("copies"))
+    nodes = stored(first.select("node", "f.doc_id", "f.row", "f.line_no", "copies"), "line-nodes")
+    asked = small(stored(shared.select("node").distinct(), "asked"), 16)
+    wanted = stored(nodes.join(asked, "node").groupBy("row").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted")), "wanted")
     # A document's list holds lines of its own only; repeated rows give a line several times.
-    texts = known.join(stored(wanted, "wanted").withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).select("wanted", "text")
-    lines = stored(texts.mapInArrow(lean(_lines), "node long, line string, size long, sketch binary"), "lines")
+    texts = known.join(small_lists(wanted.withColumnRenamed("row", "_row"), "wanted", 16), F.col("row") == F.col("_row")).select("wanted", "text")
+    lines = stored(texts.mapInArrow(lean(_lines), "node long, line string, n int, size long, sketch binary"), "lines")
     near = possible(shared, lines.select("node", "size", "sketch").dropDuplicates(["node"]), num, den)
     dropped(shared)
-    members, meet = gathered(near, nodes.select("node", (8 * F.col("n")).alias("bytes")))
+    members, meet = gathered(near, lines.select("node", (8 * F.col("n")).cast("long").alias("bytes")).distinct())
     texts = members.join(lines.select("node", "line"), "node").dropDuplicates(["node"])
     rows = texts.join(meet, "leaf").select("la", "lb", "side", "node", F.lit(1).cast("long").alias("copies"), "line")
     links = stored(dealt(rows).mapInArrow(lean(linked(line_sets, num, den)), LINKED).filter("other IS NOT NULL"), "links")
     labels = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rooted = nodes.join(labels, "node", "left").select("node", F.struct("doc_id", "row", "line_no").alias("f"), "copies", F.coalesce("root", "node").alias("root"))
-    # Components of one line that occurs once decide nothing.
-    keepers = rooted.groupBy("root").agg(F.min("f").alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
-    decided = stored(rooted.join(keepers.select("root", "keep"), "root").select("node", "keep"), "decided")
+    linked_nodes = small(stored(labels.select("node", "root").unionByName(labels.select(F.col("root").alias("node"), "root").distinct()), "linked-nodes"), 24)
+    # A line that occurs once and links with none decides nothing.
+    rooted = nodes.join(linked_nodes, "node", "left").filter("root IS NOT NULL OR copies > 1").select("node", F.struct("doc_id", "row", "line_no").alias("f"), F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    keepers = rooted.groupBy("root").agg(F.min("f").alias("keep"))
+    decided = stored(rooted.join(keepers, "root").select("node", "keep"), "decided")
     lost = places.join(small(decided, 56), "node").filter((F.col("row") != F.col("keep.row")) | (F.col("line_no") != F.col("keep.line_no")))
     return lost.groupBy("row").agg(F.collect_set("line_no").alias("gone"))
 

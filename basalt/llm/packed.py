@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean
+from .tokens import MULTIPLIER, mix
 
 #: Bytes of a part, on average; entries held before they are written; nodes that a task remembers; largest group whose pairs are all tested by sketch.
 PART, HELD, SEEN, TESTED = 2 << 20, 1 << 18, 1 << 18, 48
@@ -106,15 +107,24 @@ def groups(all_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return some[wide], starts, counts[counts > 1]
 
 
-def _shared(sketched: bool, most: int):
+def set_names(node: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A key for each group that depends on its set of nodes only."""
+    if not len(node):
+        return np.zeros(0, np.uint64)
+    return mix(np.add.reduceat(mix(node.view(np.uint64) * MULTIPLIER + MULTIPLIER), starts) + counts.astype(np.uint64))
+
+
+def _shared(sketched: bool, most: int, by_set: bool):
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("centre", pa.int64())])
 
     def done(held: list[bytes]):
         some, starts, counts = groups(np.frombuffer(b"".join(held), entry(sketched)))
         if sketched:
             some, starts, counts = groups(some[near_any(some["sketch"], starts, counts, most)])
-        centres = np.repeat(some["node"][starts], counts)
-        return pa.RecordBatch.from_arrays([pa.array(some["key"].view(np.int64) if len(some) else [], pa.int64()), pa.array(np.ascontiguousarray(some["node"])), pa.array(centres)], schema=schema)
+        node, key = np.ascontiguousarray(some["node"]), np.ascontiguousarray(some["key"])
+        if by_set:
+            key = np.repeat(set_names(node, starts, counts), counts)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(np.repeat(node[starts], counts))], schema=schema)
 
     def run(batches):
         now, held = None, []
@@ -131,11 +141,13 @@ def _shared(sketched: bool, most: int):
     return run
 
 
-def shared_keys(entries: DataFrame, parts: int, most: int | None = None) -> DataFrame:
+def shared_keys(entries: DataFrame, parts: int, most: int | None = None, by_set: bool = False) -> DataFrame:
     """key, node, centre (the key's smallest node) of keys that several nodes share, from entries (part, entries).
 
     most: places in which the sketches of two nodes worth comparing may differ (None: there are no sketches).  A node
-    that is near no other of its key is left out, unless the key has more than TESTED nodes."""
+    that is near no other of its key is left out, unless the key has more than TESTED nodes.
+    by_set: keys with the same nodes (near nodes share most of their keys) become one key, named by these nodes."""
     tasks = max(1, parts // 4)
     dealt = entries.repartition(tasks, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(lean(_shared(most is not None, most or 0)), "key long, node long, centre long")
+    shared = dealt.mapInArrow(lean(_shared(most is not None, most or 0, by_set)), "key long, node long, centre long")
+    return shared.distinct() if by_set else shared

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import lean, stored
 from .tokens import MULTIPLIER, mix
 
-#: Bits of a sketch; nodes of a key that are compared in one task (twice as many, if a key has more).
-BITS, KEY_NODES = 1024, 4096
+#: Bits of a sketch; nodes of a key that are compared in one task (twice as many, if a key has more); sets whose sketches are made together.
+BITS, KEY_NODES, TOGETHER = 1024, 4096, 128
 
 
 def odd_sketch(found: np.ndarray, bits: int = BITS) -> bytes:
@@ -25,6 +25,15 @@ def odd_sketch(found: np.ndarray, bits: int = BITS) -> bytes:
     return np.packbits(np.bincount((found >> np.uint64(32)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
+def odd_sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The odd_sketch of each set; sets of about TOGETHER make the least work."""
+    if not sets:
+        return []
+    own = np.repeat(np.arange(len(sets)) * BITS, [len(x) for x in sets])
+    odd = np.bincount(own + (np.concatenate(sets) >> np.uint64(32)).astype(np.int64) % BITS, minlength=len(sets) * BITS).astype(np.uint8) & 1
+    return [x.tobytes() for x in np.packbits(odd).reshape(len(sets), -1)]
+
+
 def wide_sketch(found: np.ndarray) -> bytes:
     """A sketch of two bits an element at least: it tells apart sets of any size, at a 32nd of their bytes or a 16th."""
     return odd_sketch(found, max(BITS, 1 << (2 * len(found) - 1).bit_length()))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basalt.llm import boxes, decontamination, jaccard, language_model, leaves, lines, media, mixing, packed, sketches, tokencount, tokens, toxicity
+from basalt.llm import boxes, common, decontamination, jaccard, language_model, leaves, lines, media, mixing, packed, sketches, tokencount, tokens, toxicity
 from basalt.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a int, node string, size int, root string"
@@ -258,6 +258,71 @@ def test_line_dedup_of_a_large_family(spark, monkeypatch):
     assert sorted(r.doc_id for r in got if r.n_kept) == [0]
 
 
+def test_line_keys_of_the_same_nodes_are_compared_once(spark, monkeypatch):
+    """Near lines share most of their keys; their sketches and texts travel for one of them, and texts of documents not at all."""
+    rng, rows, sets, plans = random.Random(14), [], [], []
+    for i in range(60):
+        w = [rng.choice(WORDS) for _ in range(30)]
+        rows.append((3 * i, " ".join(w)))
+        for j in range(1, rng.randint(2, 3)):
+            rows.append((3 * i + j, " ".join([*w[:-1], f"v{j}"])))
+
+    def possible(shared, *rest):
+        sets.extend(tuple(r.s) for r in shared.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s")).collect())
+        return sketches.possible(shared, *rest)
+
+    def stored(df, name, *rest):
+        if name == "lines":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, name, *rest)
+
+    monkeypatch.setattr(lines, "possible", possible)
+    monkeypatch.setattr(lines, "stored", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in got if r.n_kept) == [3 * i for i in range(60)]
+    assert len(sets) == len(set(sets)) >= 60 and all(len(set(x)) == len(x) > 1 for x in sets)
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_sets_and_odd_sketches_of_many_lines():
+    rng = random.Random(15)
+    some = ["", "a", "abcd", "abcde", "aaaaaaaaaaaa", *("".join(rng.choice("abc ") for _ in range(rng.randint(0, 400))) for _ in range(300)), "", "ab"]
+    sets = list(lines.line_sets(some))
+    want = [np.unique(lines.shingles(lines.code_points(x))[: max(len(x) - lines.SHINGLE + 1, 0)]) for x in some]
+    assert len(sets) == len(some) and all((a == b).all() and len(a) == len(b) for a, b in zip(sets, want))
+    assert sketches.odd_sketches(sets) == [sketches.odd_sketch(x) for x in want] and sketches.odd_sketches([]) == []
+
+
+def test_small_meetings_are_decoded_together():
+    """Own leaves, meetings of two, and one whose second side is missing, over batches that cut them."""
+    rng, rows, want = random.Random(16), [], set()
+    for k in range(60):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+        other = k if k % 2 else k + 1000
+        side = [False, k % 2 == 0 and k != 30, k % 2 == 0 and k != 30]
+        for i, line in enumerate((base, base + "x", "y" * 50)):
+            rows.append((k, other, side[i], 10 * k + i, 1, line))
+        if k != 30:
+            want.add((10 * k + 1, 10 * k))
+    calls = []
+
+    def decode(data):
+        calls.append(len(data))
+        return lines.line_sets(data)
+
+    columns = ["la", "lb", "side", "node", "copies", "data"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows[at : at + 50]]) for at in range(0, len(rows), 50)]
+    out = [r for b in leaves.linked(decode, 8, 10)(iter(batches)) for r in b.to_pylist()]
+    assert {(r["node"], r["other"]) for r in out if r["other"] is not None} == want
+    assert sorted((r["node"], r["weight"]) for r in out if r["other"] is None) == sorted((x, 1) for pair in want for x in pair)
+    assert sum(calls) == 3 * 59 and len(calls) <= 2
+
+
 def test_wide_sketches_tell_long_sets_of_a_key_apart(spark, monkeypatch):
     """Long sets that share a passage and no more are let go before they are gathered, in one block or several; links stay."""
     rng = np.random.default_rng(8)
